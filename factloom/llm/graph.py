@@ -40,23 +40,29 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def stars(entry: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b) from a table of entries (key, uid, ...): each key's least and greatest uid with its others."""
+def shared(entry: DataFrame) -> DataFrame:
+    """The entries (key, uid) whose key several uids have, with the key's least and greatest uid (lo, hi), stored."""
     bucket = entry.groupBy("key").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi")
+    return materialize(entry.join(bucket, "key").select("key", "uid", "lo", "hi"), "shared")
+
+
+def stars(entry: DataFrame) -> DataFrame:
+    """Candidate pairs (a < b): each key's least and greatest uid with its others."""
     pair = lambda end: F.struct(F.least("uid", end).alias("a"), F.greatest("uid", end).alias("b"))
-    return entry.join(bucket, "key").select(F.inline(F.array(pair("lo"), pair("hi")))).where("a < b").distinct()
+    return entry.select(F.inline(F.array(pair("lo"), pair("hi")))).where("a < b").distinct()
 
 
-def across(entry: DataFrame, label: DataFrame, near, extra: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs (a < b) of one key and different components.
+def across(entry: DataFrame, label: DataFrame, near=None, extra: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs (a < b) of one key and different components, from shared entries.
 
     near: a condition on the columns of both entries, named with x and y at their ends; it is
     part of the join. extra: further columns for each uid, joined to the entries that need them.
     """
-    entry = entry.join(label.withColumnRenamed("id", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    entry = entry.join(label.withColumnRenamed("id", "uid"), "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
     several = entry.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
     rest = entry.join(several, "key", "left_semi")
     rest = materialize(rest if extra is None else rest.join(extra, "uid"), "across")
     left, right = (rest.select(*(F.col(c).alias(f"{c}{s}") for c in rest.columns)) for s in "xy")
-    both = left.join(right, (F.col("keyx") == F.col("keyy")) & (F.col("uidx") < F.col("uidy")) & (F.col("labelx") != F.col("labely")) & near)
+    on = (F.col("keyx") == F.col("keyy")) & (F.col("uidx") < F.col("uidy")) & (F.col("labelx") != F.col("labely"))
+    both = left.join(right, on if near is None else on & near)
     return both.select(F.col("uidx").alias("a"), F.col("uidy").alias("b")).distinct()

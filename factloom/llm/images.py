@@ -2,8 +2,8 @@
 
 Corners are found on several scales; each has an orientation (towards its patch's intensity
 centroid) and 256 binary tests of smoothed intensities, turned by that orientation.
-A descriptor goes into eight tables by 32 of its bits each; descriptors in one cell of a
-table make their images candidates. A pair is a copy if enough of its mutually nearest
+A descriptor goes into twelve tables by 64 of its bits each, chosen at random; descriptors
+in one cell of a table make their images candidates. A pair is a copy if enough of its mutually nearest
 descriptors agree on one similarity transform (turn, scale, shift), so cropped, scaled,
 turned, brightened or noisy copies count.
 
@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm._io import materialize, picked
-from factloom.llm.graph import across, components, stars
+from factloom.llm._text import U64, mix
+from factloom.llm.graph import across, components, shared, stars
 
 SCALES = (1.0, 0.7)
-PER_SCALE = 14
-TESTS, TABLES = 256, 8
+PER_SCALE = 12
+TESTS, TABLES = 256, 12
 PATCH = 18
 MOST_BITS = 44
 MIN_INLIERS = 6
@@ -37,6 +38,7 @@ SIDE = 64
 
 _rng = np.random.default_rng(11)
 _PAIRS = np.clip(_rng.normal(0, PATCH / 2.2, (TESTS, 2, 2)), -PATCH, PATCH)
+_SUBSETS = np.stack([_rng.choice(TESTS, 64, replace=False) for _ in range(TABLES)])
 _DISC = np.array([(x, y) for x in range(-9, 10) for y in range(-9, 10) if x * x + y * y <= 81])
 
 
@@ -171,6 +173,13 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(words)
 
 
+def cells(words: np.ndarray) -> np.ndarray:
+    """The distinct table cells of an image's descriptors, as hashes."""
+    bits = np.unpackbits(words.view(np.uint8).reshape(-1, TESTS // 8), axis=1)
+    part = np.packbits(bits[:, _SUBSETS], 2).view("<u8")[..., 0]
+    return np.unique(mix(part + np.arange(TABLES, dtype=U64) * U64(0x9E3779B97F4A7C15))).view(np.int64)
+
+
 def inliers(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray) -> int:
     """Most matches that one similarity transform explains. a, b: places; da, db: descriptors."""
     if not len(a) or not len(b):
@@ -237,7 +246,7 @@ def edited_copies(images: DataFrame, id_col: str = "vec_id", image_col: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, place, words = [], [], []
+            uid, place, words, keys = [], [], [], []
             for u, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 image = decode(data)
                 if image is not None:
@@ -246,15 +255,15 @@ def edited_copies(images: DataFrame, id_col: str = "vec_id", image_col: str = "i
                         uid.append(u)
                         place.append(p.ravel())
                         words.append(d.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(place, pa.list_(pa.float64())), pa.array(words, pa.list_(pa.int64()))], names=["uid", "places", "words"])
+                        keys.append(cells(d))
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(place, pa.list_(pa.float64())), pa.array(words, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["uid", "places", "words", "keys"])
 
-    vertex = materialize(rows.join(first.select("uid"), "uid", "left_semi").select("uid", "image").mapInArrow(run, "uid bigint, places array<double>, words array<bigint>"), "descriptors")
-    each = vertex.select("uid", F.explode(F.expr("transform(sequence(0, size(words) div 4 - 1), i -> slice(words, i * 4 + 1, 4))")).alias("d"))
-    half = [F.struct(F.lit(t).alias("t"), (F.shiftright(F.col("d")[t // 2], 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF))).alias("bits")) for t in range(TABLES)]
-    entry = each.select("uid", "d", F.explode(F.array(*half)).alias("k")).select(F.xxhash64("k.t", "k.bits").alias("key"), "uid", "d")
+    vertex = materialize(rows.join(first.select("uid"), "uid", "left_semi").select("uid", "image").mapInArrow(run, "uid bigint, places array<double>, words array<bigint>, keys array<bigint>"), "descriptors")
+    entry = shared(vertex.select("uid", F.explode("keys").alias("key")))
+    full = vertex.drop("keys")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(vertex.toDF("a", "pa", "wa"), "a").join(vertex.toDF("b", "pb", "wb"), "b").select("a", "b", "pa", "wa", "pb", "wb")
+        both = pairs.join(full.toDF("a", "pa", "wa"), "a").join(full.toDF("b", "pb", "wb"), "b").select("a", "b", "pa", "wa", "pb", "wb")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -269,8 +278,7 @@ def edited_copies(images: DataFrame, id_col: str = "vec_id", image_col: str = "i
     star = materialize(stars(entry), "stars")
     links = materialize(verify(star), "links")
     label = components(links)
-    near = sum((F.bit_count(F.col("dx")[i].bitwiseXOR(F.col("dy")[i])) for i in range(4)), F.lit(0)) <= MOST_BITS
-    more = materialize(verify(materialize(across(entry, label, near).join(star, ["a", "b"], "left_anti"), "cross")), "links")
+    more = materialize(verify(materialize(across(entry, label).join(star, ["a", "b"], "left_anti"), "cross")), "links")
     if not more.isEmpty():
         links = links.unionAll(more)
         label = components(links)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm._io import materialize, picked
 from factloom.llm._text import ALNUM, ALNUM_SPLIT, U64, Words, mix, shingle_hashes, slices
-from factloom.llm.graph import across, components, stars
+from factloom.llm.graph import across, components, shared, stars
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -175,7 +175,7 @@ def near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     made = signed.where("signature is not null")
     first = made.groupBy("node").agg(F.min("uid").alias("uid"))
     vertex = materialize(made.join(first.select("uid"), "uid", "left_semi"), "vertices")
-    entry = vertex.select("uid", F.explode("bands").alias("key"))
+    entry = shared(vertex.select("uid", F.explode("bands").alias("key")))
     star = stars(entry)
     half = vertex.select("uid", "n", "signature")
     paired = materialize(star.join(half.toDF("a", "na", "sa"), "a").join(half.toDF("b", "nb", "sb"), "b").where(_agreeing("sa", "sb", "na", "nb")).select("a", "b"), "stars")
