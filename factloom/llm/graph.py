@@ -47,9 +47,13 @@ def shared(entry: DataFrame) -> DataFrame:
 
 
 def stars(entry: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b): each key's least and greatest uid with its others."""
-    pair = lambda end: F.struct(F.least("uid", end).alias("a"), F.greatest("uid", end).alias("b"))
-    return entry.select(F.inline(F.array(pair("lo"), pair("hi")))).where("a < b").distinct()
+    """Candidate pairs (a < b), two for each uid at most: with the least and with the greatest uid that it shares most keys with.
+
+    A group of n uids that share keys pairwise gives 2n pairs, not its square; ``across`` finds what they leave apart.
+    """
+    counted = entry.select("uid", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lo").alias("end")), F.struct(F.lit(1).alias("side"), F.col("hi").alias("end")))).alias("e")).where("uid <> e.end").groupBy("uid", "e").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("uid", "e.side").agg(F.max(F.struct("n", (-F.col("e.end")).alias("end"))).alias("m"))
+    return best.select(F.least("uid", -F.col("m.end")).alias("a"), F.greatest("uid", -F.col("m.end")).alias("b")).distinct()
 
 
 def across(entry: DataFrame, label: DataFrame, near=None, extra: DataFrame | None = None) -> DataFrame:

@@ -7,8 +7,8 @@ in one cell of a table make their images candidates. A pair is a copy if enough
 descriptors agree on one similarity transform (turn, scale, shift), so cropped, scaled,
 turned, brightened or noisy copies count.
 
-Equal images are one vertex. A cell's members are compared with its least and its greatest
-member, then with those of other components, as in near_dup.
+Equal images are one vertex. An image is compared with the least and with the greatest one
+that it shares most cells with, then with those of other components, as in near_dup.
 """
 
 from __future__ import annotations
@@ -234,10 +234,10 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
 
 def edited_copies(images: DataFrame, id_col: str = "vec_id", image_col: str = "image") -> DataFrame:
-    """One row per row of ``images``: id, class_id, n_links, kept.
+    """One row per row of ``images``: id, class_id, kept.
 
-    class_id: the least id of the row's class of copies (null if the class has none); n_links:
-    links of its image with different images; kept: true for one row of each class. Images
+    class_id: the least id of the row's class of copies (null if the class has none); kept:
+    true for one row of each class. Images
     that can't be decoded, null ones and ones without corners are alike only if their bytes
     are; null ones are alike to none. Rows that repeat an id are separate rows.
     """
@@ -282,8 +282,7 @@ def edited_copies(images: DataFrame, id_col: str = "vec_id", image_col: str = "i
     if not more.isEmpty():
         links = links.unionAll(more)
         label = components(links)
-    degree = links.select(F.explode(F.array("u", "v")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("links"))
-    at = first.join(label.withColumnRenamed("id", "uid"), "uid", "left").join(degree, "uid", "left").select("node", F.coalesce("label", "uid").alias("class"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
-    named = rows.select("id", "uid", "node").join(at, "node", "left").select("id", "uid", F.coalesce("class", "uid").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    at = first.join(label.withColumnRenamed("id", "uid"), "uid", "left").select("node", F.coalesce("label", "uid").alias("class"))
+    named = rows.select("id", "uid", "node").join(at, "node", "left").select("id", "uid", F.coalesce("class", "uid").alias("class"))
     least = named.groupBy("class").agg(F.min("id").alias("class_id"))
-    return named.join(least, "class").select(F.col("id").alias(id_col), "class_id", "n_links", (F.col("uid") == F.col("class")).alias("kept"))
+    return named.join(least, "class").select(F.col("id").alias(id_col), "class_id", (F.col("uid") == F.col("class")).alias("kept"))

@@ -9,10 +9,11 @@ register keeps its first point. Two signatures agree in a register with a probab
 exactly the weighted Jaccard similarity. Points are drawn in order and a process ends as
 soon as its next point is later than all registers of its document.
 
-Bands of registers give candidates. In each band's bucket all members are compared with its
-least and its greatest member only; those links join nearly all of a group of near copies.
-Where a bucket still holds several components, its members of different components are
-compared with each other, so that no link is lost that joins two components. Candidates
+Bands of registers give candidates. First a document is compared with two others: of the
+least members of its bands' buckets with the one that it meets most often, and so of the
+greatest ones. Those links join nearly all of a group of near copies. Where a bucket then
+still holds several components, its members of different components are compared with each
+other, so that no link is lost that joins two components. Candidates
 whose signatures agree in too few registers go; the rest are verified on their exact
 multisets.
 """
@@ -166,10 +167,10 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(uid, class, links) for each row of a stored table with uid and text, and the verified links (u, v, similarity) between uids of different texts.
+    """(uid, class) for each row of a stored table with uid and text, and verified links (u, v, similarity) between uids of different texts that connect each class.
 
-    class is the least uid of the connected component; links counts the verified links of
-    the row's text. A row without words (null, empty, punctuation only) is a class of its own.
+    class is the least uid of the connected component. A row without words (null, empty,
+    punctuation only) is a class of its own.
     """
     signed = materialize(_signed(rows), "signatures")
     made = signed.where("signature is not null")
@@ -186,25 +187,23 @@ def near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not more.isEmpty():
         links = links.unionAll(more)
         label = components(links)
-    degree = links.select(F.explode(F.array("u", "v")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("links"))
-    at = first.join(label.withColumnRenamed("id", "uid"), "uid", "left").join(degree, "uid", "left").select("node", F.coalesce("label", "uid").alias("class"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-    out = signed.select("uid", "node").join(at, "node", "left").select("uid", F.coalesce("class", "uid").alias("class"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    at = first.join(label.withColumnRenamed("id", "uid"), "uid", "left").select("node", F.coalesce("label", "uid").alias("class"))
+    out = signed.select("uid", "node").join(at, "node", "left").select("uid", F.coalesce("class", "uid").alias("class"))
     return out, links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, class_id, n_links, kept.
+    """One row per row of ``docs``: id, class_id, kept.
 
     class_id: the least id of the document's class (null if the class has none); kept: true
-    for one row of each class, the first stored. Copies are in a class with the same number
-    of links, which counts different texts only. Texts without words are unlike all others.
+    for one row of each class, the first stored. Texts without words are unlike all others.
     Rows that repeat an id are separate rows. An empty table gives no rows.
     """
     rows = numbered(picked(docs, doc=id_col, text=text_col))
     found = materialize(near_classes(rows)[0], "classes")
     named = found.join(rows.select("uid", "doc"), "uid")
     least = named.groupBy("class").agg(F.min("doc").alias("class_id"))
-    return named.join(least, "class").select(F.col("doc").alias(id_col), "class_id", F.col("links").alias("n_links"), (F.col("uid") == F.col("class")).alias("kept"))
+    return named.join(least, "class").select(F.col("doc").alias(id_col), "class_id", (F.col("uid") == F.col("class")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text") -> DataFrame:
