@@ -41,13 +41,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared(entry: DataFrame) -> DataFrame:
-    """The entries (key, uid) whose key several uids have, with the key's least and greatest uid (lo, hi), stored."""
-    bucket = entry.groupBy("key").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi")
-    return materialize(entry.join(bucket, "key").select("key", "uid", "lo", "hi"), "shared")
+    """The entries (key, uid) whose key several uids have, with two centres of the key's uids, stored.
+
+    lo: the least uid; hi: the one whose keys have most entries in all, which in a group of
+    varied copies is mostly the text or picture that they vary.
+    """
+    size = entry.groupBy("key").agg(F.min("uid").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = materialize(entry.join(size, "key").select("key", "uid", "lo", "n"), "shared")
+    weight = found.groupBy("uid").agg(F.sum("n").alias("weight"))
+    centre = found.join(weight, "uid").groupBy("key").agg(F.max(F.struct("weight", (-F.col("uid")).alias("uid"))).alias("m"))
+    return materialize(found.join(centre, "key").select("key", "uid", "lo", (-F.col("m.uid")).alias("hi")), "shared")
 
 
 def stars(entry: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b), two for each uid at most: with the least and with the greatest uid that it shares most keys with.
+    """Candidate pairs (a < b), two for each uid at most: of the centres of its keys, those of either kind that it shares most keys with.
 
     A group of n uids that share keys pairwise gives 2n pairs, not its square; ``across`` finds what they leave apart.
     """

@@ -7,8 +7,8 @@ in one cell of a table make their images candidates. A pair is a copy if enough
 descriptors agree on one similarity transform (turn, scale, shift), so cropped, scaled,
 turned, brightened or noisy copies count.
 
-Equal images are one vertex. An image is compared with the least and with the greatest one
-that it shares most cells with, then with those of other components, as in near_dup.
+Equal images are one vertex. An image is compared with two centres of its cells, then with
+images of other components, as in near_dup.
 """
 
 from __future__ import annotations
