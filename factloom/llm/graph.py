@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,16 +65,17 @@ def stars(entry: DataFrame) -> DataFrame:
     return best.select(F.least("uid", -F.col("m.end")).alias("a"), F.greatest("uid", -F.col("m.end")).alias("b")).distinct()
 
 
-def across(entry: DataFrame, label: DataFrame, near=None, extra: DataFrame | None = None) -> DataFrame:
+def across(entry: DataFrame, label: DataFrame, near=None, extra: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Candidate pairs (a < b) of one key and different components, from shared entries.
 
     near: a condition on the columns of both entries, named with x and y at their ends; it is
-    part of the join. extra: further columns for each uid, joined to the entries that need them.
+    part of the join. extra: from the uids that such keys have to further columns for them.
     """
     entry = entry.join(label.withColumnRenamed("id", "uid"), "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
     several = entry.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    rest = entry.join(several, "key", "left_semi")
-    rest = materialize(rest if extra is None else rest.join(extra, "uid"), "across")
+    rest = materialize(entry.join(several, "key", "left_semi"), "across")
+    if extra is not None:
+        rest = rest.join(extra(rest.select("uid").distinct()), "uid")
     left, right = (rest.select(*(F.col(c).alias(f"{c}{s}") for c in rest.columns)) for s in "xy")
     on = (F.col("keyx") == F.col("keyy")) & (F.col("uidx") < F.col("uidy")) & (F.col("labelx") != F.col("labely"))
     both = left.join(right, on if near is None else on & near)
