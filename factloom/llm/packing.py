@@ -14,6 +14,7 @@ these numbers to bins, so no group of equal lengths meets in one task.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,15 +31,22 @@ from factloom.llm._io import materialize, picked
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
 END_ID = 0
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 CACHED_BYTES = 48
 
 
-class ChunkEncoder:
-    """Ids of whole texts as little-endian bytes, by way of a cache of the ids of each run between ASCII white space.
+#: Runs that the tokenizer's own word pattern also cuts at both ends: Latin letters, one digit, ASCII marks but the apostrophe.
+_UNITS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_SPACE = b" \t\n\r\x0b\x0c"
 
-    The tokenizer drops white space before it looks for words, and none of its words spans
-    white space, so a text's ids are those of its runs in order.
+
+class TextEncoder:
+    """Ids of whole texts as little-endian bytes, by way of a cache of the ids of their parts.
+
+    The tokenizer drops white space before it looks for words, lower-cases, and none of its
+    words spans white space, so a text's ids are those of its parts in order. A text of plain
+    units is cut into those. Any other is cut at ASCII white space, and those runs of it that
+    hold something else (apostrophes, other scripts, special tokens) are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,24 +54,58 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[n for word, n in vocabulary.items() if word.endswith("</w>")]] = True
         self._cache: dict[bytes, bytes] = {}
 
-    def _encode(self, runs: list[bytes]) -> Iterator[bytes]:
+    def _runs(self, runs: list[bytes]) -> Iterator[bytes]:
         for at in range(0, len(runs), 4096):
             for e in self._tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in runs[at : at + 4096]], add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
 
+    def _units(self, units: list[bytes]) -> Iterator[bytes]:
+        """Many units go as one text: each is one word of the tokenizer, whose last id has the mark of a word's end."""
+        for at in range(0, len(units), 4096):
+            part = units[at : at + 4096]
+            ids = np.array(self._tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self._ends[ids]) + 1
+            if len(cut) != len(part):  # another tokenizer
+                yield from self._runs(part)
+                continue
+            data, lo = ids.tobytes(), 0
+            for hi in (cut * 4).tolist():
+                yield data[lo:hi]
+                lo = hi
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list({r for runs in split for r in runs}.difference(self._cache))
+        parts: list[list[bytes]] = []
+        whole: set[bytes] = set()
+        for text in texts:
+            low = text.lower()
+            units = _UNITS.findall(low)
+            if b"<|" in low or sum(map(len, units)) != len(low.translate(None, _SPACE)):
+                units = []
+                for run in text.split():
+                    found = _UNITS.findall(run.lower())
+                    if b"<|" in run or sum(map(len, found)) != len(run):
+                        whole.add(run)
+                        units.append(run)
+                    else:
+                        units += found
+            parts.append(units)
+        need = {u for units in parts for u in units}
+        new = need.difference(self._cache)
         if len(self._cache) + len(new) > CACHE_ENTRIES:
             self._cache.clear()
-            new = list({r for runs in split for r in runs})
-        self._cache.update(zip(new, self._encode(new), strict=True))
-        out = [b"".join(map(self._cache.__getitem__, runs)) for runs in split]
-        for r in new:
-            if len(r) > CACHED_BYTES:
-                del self._cache[r]
+            new = need
+        runs, plain = list(new & whole), list(new - whole)
+        self._cache.update(zip(runs, self._runs(runs), strict=True))
+        self._cache.update(zip(plain, self._units(plain), strict=True))
+        out = [b"".join(map(self._cache.__getitem__, units)) for units in parts]
+        for u in new:
+            if len(u) > CACHED_BYTES:
+                del self._cache[u]
         return out
 
 
@@ -129,7 +171,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
     names = ["id", "piece", "start", "length", "ids_crc32", "ids", "part", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part = ChunkEncoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encode, seen, part = TextEncoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         step = capacity * 4
         for batch in batches:
