@@ -31,7 +31,7 @@ from factloom.llm._io import materialize, picked
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
 END_ID = 0
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
 CACHED_BYTES = 48
 
 
