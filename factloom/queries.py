@@ -1,11 +1,260 @@
-"""Queries over the driver's tables, by name."""
+"""Queries over the driver's tables, by name, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import context as _context
+from factloom.functions import names, numbers, periods
+from factloom.operators import audit, compare, entities, extract, layout, registry
+from factloom.plans import pipeline, rendered, views
+from factloom.sources import documents, replay
+
+_NUMBERS = [
+    ("1 thousand", 1000.0, None, None, None), ("1.5 lakh", 150000.0, None, None, None), ("2 million", 2000000.0, None, None, None), ("3 crore", 30000000.0, None, None, None),
+    ("1.2 billion", 1200000000.0, None, None, None), ("(₹1,23,456.75 crore)", -1234567500000.0, "rupee", "INR", None), ("12.5%", 12.5, "percent", None, None),
+    ("75 basis points", 0.75, "percentage_point", None, None), ("1.8x", 1.8, "ratio", None, None), ("3:2", 1.5, "ratio", None, None), ("2 million tonnes", 2000000.0, "tonne", None, None),
+    ("450 shipments", 450.0, "shipment", None, None), ("approximately ₹8,142 crore", 81420000000.0, "rupee", "INR", None), ("42 widgets", 42.0, None, None, "unknown_unit"),
+    ("Revenue changed from 10 to 12", None, None, None, "ambiguous_number"), ("no digits", None, None, None, "missing_number"), ("5:0", None, None, None, "invalid_ratio"),
+]
+_RANGES = [("between ₹10–12 crore", 1e8, 1.2e8, None), ("12 to 10 percent", None, None, "reversed_range"), ("about 10 percent", None, None, "missing_range")]
+_DATES = [("2024-03-31", "2024-03-31", "day", None), ("March 31st, 2024", "2024-03-31", "day", None), ("31 March 2024", "2024-03-31", "day", None), ("March 2024", "2024-03-01", "month", None), ("2024", "2024-01-01", "year", "year_only"), ("February 30, 2024", None, None, "invalid_date")]
+_PERIODS = [
+    ("FY24", "2023-04-01", "2024-03-31", None, "fiscal_year"), ("FY 2023-24", "2023-04-01", "2024-03-31", None, "fiscal_year"), ("year ended March 31, 2024", "2023-04-01", "2024-03-31", None, "date_range"),
+    ("Q4 FY24", "2024-01-01", "2024-03-31", None, "quarter"), ("Q1 2024", "2024-01-01", "2024-03-31", None, "quarter"), ("month ended February 2024", "2024-02-01", "2024-02-29", None, "month"),
+    ("as of March 31, 2024", None, None, "2024-03-31", "point_in_time"), ("as at 31 March 2024", None, None, "2024-03-31", "point_in_time"), ("from April 1, 2023 to March 31, 2024", "2023-04-01", "2024-03-31", None, "date_range"),
+    ("2024", "2024-01-01", "2024-12-31", None, "calendar_year"), ("year ended February 29, 2024", "2023-03-01", "2024-02-29", None, "date_range"), ("FY99", "1998-04-01", "1999-03-31", None, "fiscal_year"),
+    ("during the period under review", None, None, None, None), ("as of February 30, 2024", None, None, None, None),
+]
+_KEYS = [("Revenue from Operations", "revenue_from_operations"), ("Revenue from operations (₹ million)", "revenue_from_operations"), ("Profit & Loss", "profit_and_loss"), ("EBITDA %", "ebitda_percentage"), ("2024 estimate", "measure_2024_estimate"), ("Total Revenue", "revenue_from_operations")]
+
+
+def _literal(x) -> str:
+    return "NULL" if x is None else f"{x!r}::DOUBLE" if isinstance(x, float) else "'" + x.replace("'", "''") + "'"
+
+
+def _values(rows: list[tuple], *columns: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) AS t({', '.join(columns)})"
+
+
+def _inputs(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame([(r[0],) for r in rows], "raw string")
+
+
+def number_golden(spark, sf_dir):
+    v = F.col("v")
+    return _inputs(spark, _NUMBERS).withColumn("v", numbers.number(F.col("raw"))).select("raw", v["number"].cast("double").alias("number"), v["unit"].alias("unit"), v["currency"].alias("currency"), v["warning"].alias("warning"))
+
+
+def range_golden(spark, sf_dir):
+    v = F.col("v")
+    return _inputs(spark, _RANGES).withColumn("v", numbers.number_range(F.col("raw"))).select("raw", v["low"].cast("double").alias("low"), v["high"].cast("double").alias("high"), v["warning"].alias("warning"))
+
+
+def date_golden(spark, sf_dir):
+    v = F.col("v")
+    return _inputs(spark, _DATES).withColumn("v", periods.date_value(F.col("raw"))).select("raw", v["value"].cast("string").alias("value"), v["precision"].alias("precision"), v["warning"].alias("warning"))
+
+
+def period_golden(spark, sf_dir):
+    v = F.col("v")
+    return _inputs(spark, _PERIODS).withColumn("v", periods.period(F.col("raw"))).select("raw", *(v[k].cast("string").alias(n) for k, n in (("start", "start_date"), ("end", "end_date"), ("as_of", "as_of"), ("kind", "kind"))))
+
+
+def key_golden(spark, sf_dir):
+    return _inputs(spark, _KEYS).select("raw", _context.measure_key(F.col("raw")).alias("key"))
+
+
+def number_roundtrip(spark, sf_dir):
+    """Amounts of all lines, rendered and parsed."""
+    lines = rendered.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
+    parsed = lines.withColumn("v", numbers.number(F.concat(F.lit("₹ "), rendered.amount(F.col("cents")), F.lit(" thousand"))))
+    return parsed.select("l_orderkey", "l_linenumber", F.round(F.col("v.number").cast("double"), 2).alias("number"), F.col("v.currency").alias("currency"))
+
+
+def relations_linked(spark, sf_dir):
+    """For each nation and fiscal year: does report B corroborate, contradict, or differ by context from report A on order value?"""
+    facts, _ = extract.numeric_facts(rendered.two_reports(spark, sf_dir))
+    rel = compare.relations(compare.pairs(facts, cross_document=True))
+    label = facts.select(F.col("id").alias("fact_a_id"), F.col("context.period.label").alias("fiscal_year"), "document_id")
+    same = rel.join(label, "fact_a_id").join(facts.select(F.col("id").alias("fact_b_id"), F.col("context.period.label").alias("other")), "fact_b_id").where("fiscal_year = other")
+    return same.select(F.col("subject_id").alias("nation"), "fiscal_year", "relation_type", F.col("value_comparison.difference").cast("double").alias("difference"), F.round("confidence", 4).alias("confidence"))
+
+
+def relation_types(spark, sf_dir):
+    return views.counts(relations_linked(spark, sf_dir), "relation_type")
+
+
+def period_reconciled(spark, sf_dir):
+    """Pairs of neighbouring and other years within report A: all differ by period only."""
+    facts, _ = extract.numeric_facts(rendered.two_reports(spark, sf_dir).where("document_id = 'report-a'"))
+    return compare.relations(compare.pairs(facts)).groupBy(F.col("subject_id").alias("nation"), "relation_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def evidence_verified(spark, sf_dir):
+    """Each fact's quotation, cut again from its passage."""
+    p = rendered.two_reports(spark, sf_dir)
+    facts, _ = extract.numeric_facts(p)
+    j = facts.join(p.select(F.col("id").alias("passage_id"), "text", "char_start"), "passage_id")
+    again = F.substring("text", F.col("quote_start") - F.col("char_start") + 1, F.col("quote_end") - F.col("quote_start"))
+    return j.groupBy(F.col("document_id")).agg(F.count(F.lit(1)).alias("facts"), F.count_if(again == F.col("quote")).alias("verified"))
+
+
+def growth_checks(spark, sf_dir):
+    facts, _ = extract.numeric_facts(rendered.growth_report(spark, sf_dir))
+    return audit.discover_growth(facts).select(F.col("subject_id").alias("nation"), F.col("stated.context.period.label").alias("fiscal_year"), "relation_type", F.round("calculated", 4).alias("calculated"))
+
+
+def component_totals(spark, sf_dir):
+    return audit.totals(rendered.line_grids(spark, sf_dir), complete=True).select("subject_id", "n_components", "relation_type", F.round(F.col("difference").cast("double"), 2).alias("difference"))
+
+
+def table_cells_to_facts(spark, sf_dir):
+    t = extract.table_facts(rendered.grids(spark, sf_dir))
+    return t.select(F.col("document_id").alias("nation"), "predicate_key", F.col("context.period.label").alias("fiscal_year"), F.col("value.number").cast("double").alias("number"), F.col("value.currency").alias("currency"), F.array_join("warnings", ",").alias("warnings"))
+
+
+def candidate_counts(spark, sf_dir):
+    """Numeric candidates of the raw documents: seen and ignored."""
+    docs = rendered.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").cast("string").alias("id"), "text", F.lit("body").alias("role"))
+    return extract.statistics(docs)
+
+
+def document_dedupe(spark, sf_dir):
+    docs = rendered.read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_hash"), F.format_string("%012d", "doc_id").alias("original_filename"))
+    return documents.register(docs, docs.limit(0))
+
+
+def repeated_furniture(spark, sf_dir):
+    """First lines that two documents of a source share, documents as pages."""
+    lines = rendered.read(spark, sf_dir, "documents").select("source", "doc_id", layout.furniture_key(F.substring_index("text", "\n", 1)).alias("line"))
+    return lines.groupBy("source", "line").agg(F.count_distinct("doc_id").alias("pages")).where("pages >= 2")
+
+
+def predicate_registry(spark, sf_dir):
+    """Part types as measures of the kind that their first part has."""
+    p = rendered.read(spark, sf_dir, "part").select(_context.measure_key(F.col("p_type")).alias("key"), F.col("p_type").alias("label"), F.when(F.col("p_partkey") % 2 == 0, "number").otherwise("text").alias("value_kind"), F.col("p_partkey").alias("ord"))
+    good, bad = registry.register(p)
+    return good.select("key", "value_kind", F.size("aliases").cast("bigint").alias("aliases")).join(bad.groupBy("key").agg(F.count(F.lit(1)).alias("conflicts")), "key", "left").select("key", "value_kind", "aliases", F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
+
+
+def _suppliers(spark, sf_dir):
+    s = rendered.read(spark, sf_dir, "supplier")
+    cin = F.lpad(F.concat(F.lit("C"), F.col("s_suppkey").cast("string")), 21, "0")
+    none = F.create_map().cast("map<string,string>")
+    catalogue = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.concat("s_name", F.lit(" Limited")).alias("canonical_name"), F.lit("company").alias("entity_type"), F.create_map(F.lit("cin"), cin).alias("identifiers"), F.array().cast("array<string>").alias("aliases"))
+    kind = F.col("s_suppkey") % 4
+    mentions = s.where("s_suppkey % 4 <> 3").select(
+        F.col("s_suppkey").cast("string").alias("id"), F.when(kind == 1, F.concat(F.lit("Mr. "), F.upper("s_name"), F.lit(" Pvt. Ltd."))).when(kind == 0, F.lit("Another Name")).otherwise(F.concat_ws(" ", F.lit("Zephyr"), F.sha2(F.col("s_suppkey").cast("string"), 256))).alias("name"),
+        F.lit("organisation").alias("entity_type"), F.when(kind == 0, F.create_map(F.lit("CIN"), F.lower(cin))).otherwise(none).alias("identifiers"))
+    return mentions, catalogue
+
+
+def entity_resolution(spark, sf_dir):
+    r = entities.resolve(*_suppliers(spark, sf_dir))
+    return r.select("id", "method", F.when(F.col("method") == "new_entity", "new").otherwise(F.col("entity_id")).alias("entity"), F.round("confidence", 4).alias("confidence"))
+
+
+def incremental_equals_full(spark, sf_dir):
+    """Relations found by linking report B's facts to stored ones of report A."""
+    facts, _ = extract.numeric_facts(rendered.two_reports(spark, sf_dir))
+    a, b = (facts.where(F.col("document_id") == d) for d in ("report-a", "report-b"))
+    return views.counts(pipeline.link_new(a, b, cross_document=True), "relation_type")
+
+
+def facts_page(spark, sf_dir):
+    """The second page of ten facts of report A."""
+    facts, _ = extract.numeric_facts(rendered.two_reports(spark, sf_dir).where("document_id = 'report-a'"))
+    return views.page(facts, 2, 10, "subject_id", "context.period.label").select("subject_id", F.col("context.period.label").alias("fiscal_year"), F.col("value.number").cast("double").alias("number"))
+
+
+def document_counts(spark, sf_dir):
+    facts, lost = extract.numeric_facts(rendered.two_reports(spark, sf_dir))
+    rel = compare.relations(compare.pairs(facts, cross_document=True))
+    return views.document_counts(facts.select(F.col("document_id").alias("id")).distinct(), facts, rel, lost)
+
+
+def interleaved_facts(spark, sf_dir):
+    facts, _ = extract.numeric_facts(rendered.two_reports(spark, sf_dir))
+    return views.interleaved(facts).select("turn", "document_id").groupBy("turn").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def reprocess_isolation(spark, sf_dir):
+    """What is left of facts and relations after report B is cleared."""
+    facts, lost = extract.numeric_facts(rendered.two_reports(spark, sf_dir))
+    rel = compare.relations(compare.pairs(facts))
+    p = rendered.two_reports(spark, sf_dir)
+    left = documents.clear_document("report-b", facts, rel, audit.repeated_metrics(rel), lost, p)
+    return left["facts"].select(F.lit("facts").alias("what")).unionAll(left["relations"].select(F.lit("relations"))).unionAll(left["passages"].select(F.lit("passages"))).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+
+
+def passage_layout(spark, sf_dir):
+    """Documents as pages of one block each: passages, their roles and sizes."""
+    docs = rendered.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("page_index"), *(F.lit(x).alias(c) for c, x in (("page_width", 600.0), ("page_height", 800.0), ("block_no", 0), ("x0", 50.0), ("y0", 120.0), ("x1", 250.0), ("y1", 700.0))), "text")
+    return layout.passages(docs).groupBy("document_id").agg(F.count(F.lit(1)).alias("passages"), F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("chars"))
+
+
+def model_replay_grounding(spark, sf_dir):
+    """Recorded answers on one passage: a fact, an invented quotation, an invented subject, a broken answer."""
+    text = "Delhivery Limited reported revenue of ₹100 crore in FY24."
+    item = '{{"facts":[{{"subject":{s},"predicate":"Revenue","value_kind":"number","raw_value":"{r}","quote":"{q}","confidence":0.9}}]}}'
+    answers = [("ok", item.format(s='"Delhivery Limited"', r="₹100 crore", q="revenue of ₹100 crore")), ("quote", item.format(s="null", r="₹999 crore", q="Revenue was ₹999 crore.")), ("raw", item.format(s="null", r="₹999 crore", q="revenue of ₹100 crore")), ("subject", item.format(s='"Imaginary Logistics Limited"', r="₹100 crore", q="revenue of ₹100 crore")), ("schema", '{"facts":[{"predicate":"Revenue"}]}')]
+    rows = spark.createDataFrame([(k, "d", text, 250, a) for k, a in answers], "id string, document_id string, text string, char_start int, response_json string")
+    return replay.ground(rows).select("passage_id", F.substring_index("reason", ":", 1).alias("reason"), F.col("quote_start").cast("bigint").alias("quote_start"))
+
+
+def name_keys(spark, sf_dir):
+    """Normalized supplier names."""
+    s = rendered.read(spark, sf_dir, "supplier")
+    return s.select("s_suppkey", names.name_key(F.concat(F.lit("Dr. "), "s_name", F.lit(", Private Limited"))).alias("key"))
+
+
+_VALUE = """WITH v AS (
+  SELECT n_name AS nation, n_nationkey AS rule, year(o_orderdate) + CASE WHEN month(o_orderdate) >= 4 THEN 1 ELSE 0 END AS fy, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+w AS (SELECT *, (cents + 500000) // 1000000 AS a, CASE WHEN rule % 5 = 0 THEN (cents * 11 + 50000000) // 100000000 ELSE (cents + 5000000) // 10000000 END AS b,
+  'FY ' || (fy - 1) || '-' || lpad(CAST(fy % 100 AS VARCHAR), 2, '0') AS label FROM v),
+x AS (SELECT *, abs(a * 10000 - b * 100000) AS d, CASE WHEN rule % 5 = 1 THEN 'reconciled_by_scope' WHEN abs(a * 10000 - b * 100000) < 55000 THEN 'corroborates' ELSE 'contradicts' END AS kind FROM w)
+"""
+_G = _VALUE + """, g AS (SELECT w.nation, w.label, w.rule, w.a, p.a AS p, round((w.a - p.a) * 10000 / p.a) / 100 + CASE WHEN w.rule % 3 = 0 THEN 5 ELSE 0 END AS stated FROM w JOIN w AS p ON p.nation = w.nation AND p.fy = w.fy - 1),
+h AS (SELECT *, CAST(a - p AS DOUBLE) / p * 100 AS calc, 0.5 / p * 100 + a * 0.5 / p / p * 100 + 0.005 AS tol FROM g)
+"""
+
+_SQL = {
+    "number_golden": _values(_NUMBERS, "raw", "number", "unit", "currency", "warning"),
+    "range_golden": _values(_RANGES, "raw", "low", "high", "warning"),
+    "date_golden": _values(_DATES, "raw", "value", "precision", "warning"),
+    "period_golden": _values(_PERIODS, "raw", "start_date", "end_date", "as_of", "kind"),
+    "key_golden": _values(_KEYS, "raw", "key"),
+    "number_roundtrip": "SELECT l_orderkey, l_linenumber, round(round(l_extendedprice * 100) * 10, 2) AS number, 'INR' AS currency FROM lineitem",
+    "relations_linked": _VALUE + "SELECT nation, label AS fiscal_year, kind AS relation_type, CAST(d AS DOUBLE) AS difference, CAST(round(CASE kind WHEN 'corroborates' THEN 0.98 WHEN 'contradicts' THEN 0.96 ELSE 0.92 END * 0.92, 4) AS DOUBLE) AS confidence FROM x",
+    "relation_types": _VALUE + "SELECT kind AS relation_type, count(*) AS n FROM x GROUP BY 1",
+    "period_reconciled": _VALUE + "SELECT nation, 'reconciled_by_period' AS relation_type, count(*) * (count(*) - 1) // 2 AS n FROM w GROUP BY nation HAVING count(*) > 1",
+    "evidence_verified": _VALUE + "SELECT d AS document_id, count(*) AS facts, count(*) AS verified FROM w, (VALUES ('report-a'), ('report-b')) AS t(d) GROUP BY d",
+    "growth_checks": _G + "SELECT nation, label AS fiscal_year, CASE WHEN abs(calc - stated) <= tol THEN 'corroborates' ELSE 'contradicts' END AS relation_type, round(calc, 4) AS calculated FROM h",
+    "component_totals": "SELECT CAST(l_orderkey AS VARCHAR) AS subject_id, count(*) AS n_components, CASE WHEN l_orderkey % 7 = 0 THEN 'contradicts' ELSE 'corroborates' END AS relation_type, CASE WHEN l_orderkey % 7 = 0 THEN 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS difference FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2",
+    "table_cells_to_facts": _VALUE + "SELECT nation, 'order_value' AS predicate_key, label AS fiscal_year, CAST(b * 100000 AS DOUBLE) AS number, 'INR' AS currency, 'unit_from_table_header' AS warnings FROM w",
+    "document_dedupe": "SELECT sha256(text) AS content_hash, printf('%012d', min(doc_id)) AS original_filename FROM documents GROUP BY 1",
+    "predicate_registry": "WITH p AS (SELECT p_partkey, p_type, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS key, CASE WHEN p_partkey % 2 = 0 THEN 'number' ELSE 'text' END AS kind FROM part), f AS (SELECT key, arg_min(kind, p_partkey) AS value_kind FROM p GROUP BY key) SELECT key, value_kind, count(DISTINCT p_type) FILTER (kind = value_kind) AS aliases, count(*) FILTER (kind <> value_kind) AS conflicts FROM p JOIN f USING (key) GROUP BY ALL",
+    "entity_resolution": "SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE s_suppkey % 4 WHEN 0 THEN 'identifier' WHEN 1 THEN 'exact_name' ELSE 'new_entity' END AS method, CASE WHEN s_suppkey % 4 = 2 THEN 'new' ELSE 's' || s_suppkey END AS entity, CASE s_suppkey % 4 WHEN 0 THEN 0.99 WHEN 1 THEN 0.96 ELSE 0.9 END::DOUBLE AS confidence FROM supplier WHERE s_suppkey % 4 <> 3",
+    "facts_page": _VALUE + "SELECT nation AS subject_id, label AS fiscal_year, CAST(a * 10000 AS DOUBLE) AS number FROM w ORDER BY nation, label LIMIT 10 OFFSET 10",
+    "document_counts": _VALUE + ", r AS (SELECT count(*) AS n FROM w JOIN w AS o USING (nation)) SELECT d AS document_id, count(*) AS facts, any_value(r.n) AS relations, 0::BIGINT AS failures FROM w, r, (VALUES ('report-a'), ('report-b')) AS t(d) GROUP BY d",
+    "interleaved_facts": _VALUE + "SELECT CAST(i AS INTEGER) AS turn, 2::BIGINT AS documents FROM (SELECT count(*) AS n FROM w), range(1, 1000000) AS t(i) WHERE i <= n",
+    "reprocess_isolation": _VALUE + ", k AS (SELECT nation, count(*) AS c FROM w GROUP BY nation) SELECT 'facts' AS what, CAST(sum(c) AS BIGINT) AS n FROM k UNION ALL SELECT 'passages', CAST(sum(c) AS BIGINT) FROM k UNION ALL SELECT 'relations', CAST(sum(c * (c - 1) // 2) AS BIGINT) FROM k",
+    "model_replay_grounding": "SELECT * FROM (VALUES ('ok', NULL, 277::BIGINT), ('quote', 'grounding', NULL), ('raw', 'grounding', NULL), ('subject', 'grounding', NULL), ('schema', 'schema', NULL)) AS t(passage_id, reason, quote_start)",
+    "name_keys": "SELECT s_suppkey, regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g') AS key FROM supplier",
+}
+
+_ALL = (
+    number_golden, range_golden, date_golden, period_golden, key_golden, number_roundtrip, relations_linked, relation_types, period_reconciled, evidence_verified, growth_checks, component_totals, table_cells_to_facts,
+    candidate_counts, document_dedupe, repeated_furniture, predicate_registry, entity_resolution, incremental_equals_full, facts_page, document_counts, interleaved_facts, reprocess_isolation, passage_layout, model_replay_grounding, name_keys,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
