@@ -213,7 +213,7 @@ def repeated(pages: list[np.ndarray], depth: int = MIN_TOKENS, distinct: int = M
 
 
 def unique_text(pages: list[list[str]]) -> list[str]:
-    """Each page's blocks without the runs that other pages repeat."""
+    """Each page's blocks without the runs that other pages repeat. A run goes from a block if it fills the block or has MIN_TOKENS tokens in it."""
     number: dict[str, int] = {}
     tokens = [[b.split(" ") for b in p] for p in pages]
     covered = repeated([np.array([number.setdefault(t, len(number)) for b in p for t in b], np.int64) for p in tokens])
@@ -221,8 +221,16 @@ def unique_text(pages: list[list[str]]) -> list[str]:
     for p, cover in zip(tokens, covered, strict=True):
         at, blocks = 0, []
         for b in p:
-            kept = [t for t, c in zip(b, cover[at : at + len(b)], strict=True) if not c]
+            own = cover[at : at + len(b)]
             at += len(b)
+            kept, i = [], 0
+            while i < len(b):
+                j = i
+                while j < len(b) and own[j] == own[i]:
+                    j += 1
+                if not own[i] or j - i < min(MIN_TOKENS, len(b)):
+                    kept += b[i:j]
+                i = j
             if kept:
                 blocks.append(" ".join(kept))
         out.append("\n".join(blocks))

@@ -88,10 +88,12 @@ class Model:
     features: Features
     weight: np.ndarray
     bias: float
+    #: Logit of an empty bag: that of label 1's share among the fitted texts.
+    prior: float = 0.0
 
     def logits(self, bag: np.ndarray, bucket: np.ndarray, bags: int) -> np.ndarray:
         n = np.bincount(bag, minlength=bags)
-        return np.bincount(bag, self.weight[bucket], bags) / np.maximum(n, 1) + self.bias
+        return np.where(n > 0, np.bincount(bag, self.weight[bucket], bags) / np.maximum(n, 1) + self.bias, self.prior)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probability of label 1 for each row: of its whole bag, or of its highest segment."""
@@ -170,7 +172,10 @@ def train(texts: list[bytes], labels: np.ndarray, features: Features, dim: int =
         for lo in range(0, len(order), batch):
             pick = order[lo : lo + batch]
             trainer.batch([flat[k] for k in best[pick]], y[pick], rate * (1 - epoch / epochs))
-    return trainer.model(features)
+    model = trainer.model(features)
+    share = (np.sum(labels) + 1) / (len(labels) + 2)
+    model.prior = float(np.log(share / (1 - share)))
+    return model
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: tuple[int, int], most_bytes: int, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id") -> tuple[list[bytes], np.ndarray]:
@@ -201,7 +206,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: tup
 def score(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, score of the whole text, predicted (and the columns to keep).
 
-    Null and empty texts get the model's score of an empty bag. Repeated rows get equal
+    Null and empty texts get the share of label 1 among the fitted rows. Repeated rows get equal
     scores. A kept column gives way to a result of the same name.
     """
     kept = [c for c in keep if c not in (id_col, "score", "predicted")]
