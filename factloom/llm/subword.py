@@ -137,41 +137,34 @@ def train(texts: list[bytes], labels: np.ndarray, features: Features, dim: int =
     trainer = _Trainer(features, dim, seed)
     if not len(texts):
         return trainer.model(features)
-    rows: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    parts: list[tuple[np.ndarray, ...]] = []  # of 64 texts: buckets, shares, edges of the non-empty bags, their texts
     for lo in range(0, len(texts), 64):
         part = texts[lo : lo + 64]
-        offsets = np.cumsum([0, *map(len, part)])
-        bag, bucket, row, first = features.bags(np.frombuffer(b"".join(part), np.uint8), offsets)
-        order = np.argsort(bag * (1 << features.bits) + bucket, kind="stable")
-        bag, bucket = bag[order], bucket[order]
-        new = np.flatnonzero(np.r_[True, (bag[1:] != bag[:-1]) | (bucket[1:] != bucket[:-1])]) if len(bag) else np.zeros(0, np.int64)
-        times = np.diff(np.r_[new, len(bag)])
-        bag, bucket = bag[new], bucket[new].astype(np.int32)
-        total = np.bincount(bag, times, len(row))
-        edge = np.searchsorted(bag, np.arange(len(row) + 1))
-        share = (times / total[bag]).astype(np.float32)
-        for i in range(len(part)):
-            ends = [*first[i : i + 2], len(row)][:2]
-            rows.append([(bucket[edge[k] : edge[k + 1]], share[edge[k] : edge[k + 1]]) for k in range(ends[0], ends[1]) if edge[k + 1] > edge[k]])
-    use = [i for i, r in enumerate(rows) if r]
-    flat = [s for i in use for s in rows[i]]
-    owner = np.repeat(np.arange(len(use)), [len(rows[i]) for i in use])
-    ids = np.concatenate([b for b, _ in flat]) if flat else np.zeros(0, np.int32)
-    shares = np.concatenate([s for _, s in flat]) if flat else np.zeros(0, np.float32)
-    at = np.cumsum([0, *(len(b) for b, _ in flat)])[:-1]
-    starts = np.searchsorted(owner, np.arange(len(use)))
-    y = np.asarray(labels)[use]
-    for epoch in range(epochs if flat else 0):
-        if len(flat) > len(use):
-            now = trainer.model(features)
-            level = np.add.reduceat(now.weight[ids] * shares, at) if epoch >= warm else trainer.rng.random(len(flat))
-            best = np.lexsort((level, owner))[np.r_[starts[1:], len(flat)] - 1]
-        else:
-            best = starts
-        order = trainer.rng.permutation(len(use))
+        bag, bucket, row, _ = features.bags(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]))
+        if not len(bag):
+            continue
+        key = np.sort((bag << features.bits) + bucket)
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        times = np.diff(np.r_[new, len(key)])
+        bag, bucket = key[new] >> features.bits, (key[new] & ((1 << features.bits) - 1)).astype(np.int32)
+        share = (times / np.bincount(bag, times, len(row))[bag]).astype(np.float32)
+        edge = np.flatnonzero(np.r_[True, bag[1:] != bag[:-1], True])
+        parts.append((bucket, share, edge, lo + row[bag[edge[:-1]]]))
+    y = np.asarray(labels)
+    for epoch in range(epochs if parts else 0):
+        now = trainer.model(features)
+        bags, texts_of = [], []
+        for bucket, share, edge, text in parts:
+            level = np.add.reduceat(now.weight[bucket] * share, edge[:-1]) if epoch >= warm else trainer.rng.random(len(text))
+            last = np.flatnonzero(np.r_[text[1:] != text[:-1], True])
+            for k in np.lexsort((level, text))[last]:
+                bags.append((bucket[edge[k] : edge[k + 1]], share[edge[k] : edge[k + 1]]))
+            texts_of.append(text[last])
+        target = y[np.concatenate(texts_of)]
+        order = trainer.rng.permutation(len(bags))
         for lo in range(0, len(order), batch):
             pick = order[lo : lo + batch]
-            trainer.batch([flat[k] for k in best[pick]], y[pick], rate * (1 - epoch / epochs))
+            trainer.batch([bags[k] for k in pick], target[pick], rate * (1 - epoch / epochs))
     model = trainer.model(features)
     share = (np.sum(labels) + 1) / (len(labels) + 2)
     model.prior = float(np.log(share / (1 - share)))
