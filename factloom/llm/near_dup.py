@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm._io import materialize, picked
+from factloom.llm._io import materialize, picked, scratch
 from factloom.llm._text import ALNUM, ALNUM_SPLIT, U64, Words, mix, shingle_hashes, slices
 from factloom.llm.graph import across, components, shared, stars
 
@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id are separate rows. An empty table gives no rows.
     """
     rows = numbered(picked(docs, doc=id_col, text=text_col))
-    found = materialize(near_classes(rows)[0], "classes")
+    with scratch(docs.sparkSession, "near-dup"):
+        found = materialize(near_classes(rows)[0], "classes", keep=True)
     named = found.join(rows.select("uid", "doc"), "uid")
     least = named.groupBy("class").agg(F.min("doc").alias("class_id"))
     return named.join(least, "class").select(F.col("doc").alias(id_col), "class_id", (F.col("uid") == F.col("class")).alias("kept"))
@@ -226,5 +227,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row of each class of near-duplicates, with all columns of ``docs`` as they were."""
     rows = numbered(docs)
-    found = near_classes(rows.select("uid", F.col(text_col).alias("text")))[0]
-    return rows.join(found.where("uid = class").select("uid"), "uid", "left_semi").select(*docs.columns)
+    with scratch(docs.sparkSession, "near-dup"):
+        first = materialize(near_classes(rows.select("uid", F.col(text_col).alias("text")))[0].where("uid = class").select("uid"), "kept", keep=True)
+    return rows.join(first, "uid", "left_semi").select(*docs.columns)
