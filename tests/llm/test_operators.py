@@ -331,3 +331,16 @@ def test_pipeline(spark):
     assert 0.6 * docs.count() < kept.count() < docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, DIR)
     assert packed.select("doc_id").distinct().count() == kept.count()
+
+
+def test_packed_registers_agree_as_expected(spark):
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 2**32, (2, near_dup.LONG), np.uint32)
+    b = a.copy()
+    b[:, ::7] ^= 8  # one bit of every seventh register
+    long = [near_dup.packed(x) for x in (a, b)]
+    differ = sum(int(x >> k & 15) != int(y >> k & 15) for x, y in zip(*(v[0].view(np.uint64).tolist() for v in long), strict=True) for k in range(0, 64, 4))
+    assert differ == len(range(0, near_dup.LONG, 7))
+    rows = [(long[0][0].tolist(), long[1][0].tolist(), long[0][1].tolist())]
+    df = spark.createDataFrame(rows, "x array<bigint>, y array<bigint>, z array<bigint>").selectExpr("*", "10 n", "9 m", "7 k")
+    assert df.select(*(near_dup._agreeing_long(*c) for c in (("x", "y", "n", "m"), ("x", "z", "n", "m"), ("x", "y", "n", "k")))).first()[:] == (True, False, False)
