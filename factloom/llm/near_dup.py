@@ -21,14 +21,15 @@ only, in the second step); the rest are verified on their exact multisets.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm._io import materialize, picked, scratch
+from factloom.llm._io import materialize, new_path, picked, scratch
+from factloom.llm._store import mapped, put
 from factloom.llm._text import ALNUM, ALNUM_SPLIT, U64, Words, mix, shingle_hashes, slices
 from factloom.llm.graph import across, components, shared, stars
 
@@ -39,6 +40,8 @@ BANDS, ROWS = 32, 5
 LEAST_AGREEMENT = 105
 #: The same for the longer signatures that are made where components meet. Four bits of a register are kept, of which 1 in 16 agrees by chance: 832 with a deviation of 12.5.
 LONG, LONG_AGREEMENT = 1024, 777
+#: uid = partition << PART_BITS | place in it, as Spark numbers rows.
+PART_BITS = 33
 
 _GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -108,7 +111,7 @@ def _signed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1)):
+            for lo, hi, data, offsets in slices(batch.column(1), 1 << 20):
                 view = memoryview(data)
                 split = [bytes(view[a:b]).translate(ALNUM_SPLIT).split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 node = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in split]
@@ -143,14 +146,51 @@ def _signed(rows: DataFrame) -> DataFrame:
     return rows.select("uid", "text").mapInArrow(run, "uid bigint, node binary, n bigint, bands array<bigint>, signature array<smallint>")
 
 
+def _chosen(rows: DataFrame, ids: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "uid bigint, text string") -> DataFrame:
+    """The rows (uid, text) whose uid is among ids, or what ``then`` makes of them in the same worker.
+
+    The ids go to the texts: those of a partition of the numbered rows are a sorted array in
+    a file of the shared folder, which the tasks that read this partition map. A join would
+    shuffle the whole texts.
+    """
+    folder = new_path(rows.sparkSession, "chosen")
+
+    def store(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+        put(f"{folder}/{key[0].as_py()}", np.sort(found.column("uid").to_numpy()))
+        return found.select(["uid"]).slice(0, 0)
+
+    ids.select("uid").distinct().withColumn("part", F.shiftright("uid", PART_BITS)).groupBy("part").applyInArrow(store, "uid bigint").write.format("noop").mode("overwrite").save()
+
+    def wanted(part: int) -> np.ndarray:
+        try:
+            return mapped(f"{folder}/{part}", np.int64)
+        except FileNotFoundError:  # none of this partition
+            return np.zeros(0, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, np.ndarray] = (-1, np.zeros(0, np.int64))
+        for batch in batches:
+            uid = batch.column(0).to_numpy()
+            keep = np.zeros(len(uid), bool)
+            for part in np.unique(uid >> PART_BITS).tolist():
+                if last[0] != part:
+                    last = (part, wanted(part))
+                here = uid >> PART_BITS == part
+                keep[here] = np.searchsorted(last[1], uid[here], "right") > np.searchsorted(last[1], uid[here])
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return rows.select("uid", "text").mapInArrow((lambda batches: then(run(batches))) if then else run, schema)
+
+
 def packed(signature: np.ndarray) -> np.ndarray:
     """Four bits of each register, 16 registers a word."""
     nibble = (signature & 15).astype(U64).reshape(len(signature), -1, 16)
     return (nibble << (np.arange(16, dtype=U64) * U64(4))).sum(2, dtype=U64).view(np.int64)
 
 
-def _long_signatures(rows: DataFrame) -> DataFrame:
-    """(uid, long) of rows (uid, text) with words."""
+def _long_signatures(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(uid, long) of those rows (uid, text) whose uid is among ids; long: packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +199,7 @@ def _long_signatures(rows: DataFrame) -> DataFrame:
                 sig = packed(bag_minhash(row, item, weight, hi - lo, LONG))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(list(sig), pa.list_(pa.int64()))], names=["uid", "long"])
 
-    return rows.select("uid", "text").mapInArrow(run, "uid bigint, long array<bigint>")
+    return _chosen(rows, ids, run, "uid bigint, long array<bigint>")
 
 
 def _agreeing(a: str, b: str, n: str, m: str):
@@ -183,7 +223,7 @@ def _agreeing_long(a: str, b: str, n: str, m: str):
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) of the threshold's similarity or more, on their whole texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    texts = materialize(rows.join(ids, "uid", "left_semi").select("uid", "text"), "candidates")
+    texts = materialize(_chosen(rows, ids), "candidates")
     both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +240,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(uid, class) for each row of a stored table with uid and text, and verified links (u, v, similarity) between uids of different texts that connect each class.
+    """(uid, class) for each row of a numbered table with uid and text, and verified links (u, v, similarity) between uids of different texts that connect each class.
 
     class is the least uid of the connected component. A row without words (null, empty,
     punctuation only) is a class of its own.
@@ -216,7 +256,7 @@ def near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = materialize(_verified(paired, rows), "links")
     label = components(links)
     once = F.array_min(F.array_intersect("bandsx", "bandsy")) == F.col("keyx")
-    extra = lambda uids: materialize(_long_signatures(rows.join(uids, "uid", "left_semi")).join(vertex.select("uid", "n", "bands"), "uid"), "long")
+    extra = lambda uids: materialize(_long_signatures(rows, uids).join(vertex.select("uid", "n", "bands"), "uid"), "long")
     cross = across(entry, label, _agreeing_long("longx", "longy", "nx", "ny") & once, extra).join(paired, ["a", "b"], "left_anti")
     more = materialize(_verified(materialize(cross, "cross"), rows), "links")
     if not more.isEmpty():
