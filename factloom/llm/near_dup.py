@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.llm._io import materialize, new_path, picked, scratch
 from factloom.llm._store import mapped, put
@@ -146,8 +147,8 @@ def _signed(rows: DataFrame) -> DataFrame:
     return rows.select("uid", "text").mapInArrow(run, "uid bigint, node binary, n bigint, bands array<bigint>, signature array<smallint>")
 
 
-def _chosen(rows: DataFrame, ids: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "uid bigint, text string") -> DataFrame:
-    """The rows (uid, text) whose uid is among ids, or what ``then`` makes of them in the same worker.
+def _chosen(rows: DataFrame, ids: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str | StructType | None = None) -> DataFrame:
+    """The rows (uid first) whose uid is among ids, or what ``then`` makes of them in the same worker.
 
     The ids go to the texts: those of a partition of the numbered rows are a sorted array in
     a file of the shared folder, which the tasks that read this partition map. A join would
@@ -180,7 +181,7 @@ def _chosen(rows: DataFrame, ids: DataFrame, then: Callable[[Iterator[pa.RecordB
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    return rows.select("uid", "text").mapInArrow((lambda batches: then(run(batches))) if then else run, schema)
+    return rows.mapInArrow((lambda batches: then(run(batches))) if then else run, schema or rows.schema)
 
 
 def packed(signature: np.ndarray) -> np.ndarray:
@@ -199,7 +200,7 @@ def _long_signatures(rows: DataFrame, ids: DataFrame) -> DataFrame:
                 sig = packed(bag_minhash(row, item, weight, hi - lo, LONG))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(list(sig), pa.list_(pa.int64()))], names=["uid", "long"])
 
-    return _chosen(rows, ids, run, "uid bigint, long array<bigint>")
+    return _chosen(rows.select("uid", "text"), ids, run, "uid bigint, long array<bigint>")
 
 
 def _agreeing(a: str, b: str, n: str, m: str):
@@ -223,7 +224,7 @@ def _agreeing_long(a: str, b: str, n: str, m: str):
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) of the threshold's similarity or more, on their whole texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    texts = materialize(_chosen(rows, ids), "candidates")
+    texts = materialize(_chosen(rows.select("uid", "text"), ids), "candidates")
     both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +285,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row of each class of near-duplicates, with all columns of ``docs`` as they were."""
-    rows = numbered(docs)
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = numbered(picked(docs, **{alias: c for c, alias in own.items()}))
     with scratch(docs.sparkSession, "near-dup"):
-        first = materialize(near_classes(rows.select("uid", F.col(text_col).alias("text")))[0].where("uid = class").select("uid"), "kept", keep=True)
-    return rows.join(first, "uid", "left_semi").select(*docs.columns)
+        first = materialize(near_classes(rows.select("uid", F.col(own[text_col]).alias("text")))[0].where("uid = class").select("uid"), "kept", keep=True)
+    return _chosen(rows.select("uid", *own.values()), first).select(*(F.col(alias).alias(c) for c, alias in own.items()))

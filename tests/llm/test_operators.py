@@ -174,7 +174,9 @@ def test_near_duplicates(spark, odd, empty):
     assert sum(r["kept"] for r in got) == len(set(expected.values()))
     few = near_dup.near_duplicates(odd).collect()
     assert len(few) == len(ODD) and sum(r["kept"] for r in few) == len(ODD) - 1
-    assert near_dup.deduplicate(odd).columns == odd.columns and near_dup.near_duplicates(empty).count() == 0
+    clash = odd.selectExpr("*", "'x' AS UID", "'y' AS c1")
+    kept = near_dup.deduplicate(clash)
+    assert kept.columns == clash.columns and {r["UID"] + r["c1"] for r in kept.collect()} == {"xy"} and near_dup.near_duplicates(empty).count() == 0
 
 
 def test_components(spark):
