@@ -2,9 +2,11 @@
 
 Structure decides where it can: what a page marks as its article (or main part) is kept,
 without the parts in it that tags, classes or roles mark as something else. A page without
-such a mark is undecided. The undecided pages of a host are joined to one token stream;
-its suffix array, sorted to a depth of ``MIN_TOKENS``, shows the runs that several distinct
-pages share. Tokens in such runs are boilerplate, the others stay.
+such a mark is undecided. The undecided
+pages of a host are joined to one token stream; its suffix array, sorted to a depth of
+``MIN_TOKENS``, shows the runs that several distinct pages share. Tokens in such runs are
+boilerplate, the others stay. Of a host too large for one array, the same runs are found by
+counting the pages of each hash of ``MIN_TOKENS`` tokens, over the whole host.
 
 Runs inside a marked article are never removed: articles of a host repeat one another's
 passages, and those belong to the text.
@@ -23,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm._io import materialize, picked
+from factloom.llm._text import U64, mix
 from factloom.llm.url_filter import split_url
 
 MIN_TOKENS = 8
 MIN_PAGES = 3
-#: Characters of undecided text that one suffix array takes in; larger hosts are dealt into several.
+#: Characters of undecided text that one suffix array takes in; of larger hosts, hashes are counted.
 GROUP_CHARS = 1 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -212,29 +215,52 @@ def repeated(pages: list[np.ndarray], depth: int = MIN_TOKENS, distinct: int = M
     return [covered[edge[i] : edge[i + 1] - 1] for i in range(len(pages))]
 
 
+def run_keys(host: str, tokens: list[str]) -> np.ndarray:
+    """For each place that MIN_TOKENS tokens follow: a 64-bit hash of the host and of them."""
+    n = len(tokens) - MIN_TOKENS + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    token = pd.util.hash_array(np.array([host, *tokens], object))
+    key = np.full(n, token[0], U64)
+    for k in range(MIN_TOKENS):
+        key = mix(key * U64(3) + token[1 + k : 1 + k + n])
+    return key.view(np.int64)
+
+
+def covered_by(host: str, tokens: list[str], often: np.ndarray) -> np.ndarray:
+    """For each token: whether it lies in a run whose key is one of ``often``."""
+    start = np.zeros(len(tokens) + 1, np.int64)
+    hit = np.flatnonzero(np.isin(run_keys(host, tokens), often))
+    start[hit] += 1
+    start[hit + MIN_TOKENS] -= 1
+    return np.cumsum(start)[:-1] > 0
+
+
+def own_text(blocks: list[list[str]], cover: np.ndarray) -> str:
+    """A page's blocks without the covered runs. A run goes from a block if it fills the block or has MIN_TOKENS tokens in it."""
+    at, out = 0, []
+    for b in blocks:
+        own = cover[at : at + len(b)]
+        at += len(b)
+        kept, i = [], 0
+        while i < len(b):
+            j = i
+            while j < len(b) and own[j] == own[i]:
+                j += 1
+            if not own[i] or j - i < min(MIN_TOKENS, len(b)):
+                kept += b[i:j]
+            i = j
+        if kept:
+            out.append(" ".join(kept))
+    return "\n".join(out)
+
+
 def unique_text(pages: list[list[str]]) -> list[str]:
-    """Each page's blocks without the runs that other pages repeat. A run goes from a block if it fills the block or has MIN_TOKENS tokens in it."""
+    """Each page's blocks without the runs that other pages repeat."""
     number: dict[str, int] = {}
     tokens = [[b.split(" ") for b in p] for p in pages]
     covered = repeated([np.array([number.setdefault(t, len(number)) for b in p for t in b], np.int64) for p in tokens])
-    out = []
-    for p, cover in zip(tokens, covered, strict=True):
-        at, blocks = 0, []
-        for b in p:
-            own = cover[at : at + len(b)]
-            at += len(b)
-            kept, i = [], 0
-            while i < len(b):
-                j = i
-                while j < len(b) and own[j] == own[i]:
-                    j += 1
-                if not own[i] or j - i < min(MIN_TOKENS, len(b)):
-                    kept += b[i:j]
-                i = j
-            if kept:
-                blocks.append(" ".join(kept))
-        out.append("\n".join(blocks))
-    return out
+    return [own_text(p, cover) for p, cover in zip(tokens, covered, strict=True)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -247,11 +273,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     source = picked(pages, id=id_col, url=url_col, html=html_col)
     marked = F.coalesce(F.col("html").rlike(r"(?i)<(article|main)[\s>/]|\brole\s*=\s*.?(main|article)\b"), F.lit(True))
     kind = source.schema["id"].dataType.simpleString()
+    out = f"id {kind}, url string, text string, n_chars bigint"
+
+    def result(ids, urls, text: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, urls, pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = ["\n".join(blocks_of(h)[1]) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["id", "url", "text", "n_chars"])
+            yield result(batch.column(0), batch.column(1), ["\n".join(blocks_of(h)[1]) for h in batch.column(2).to_pylist()])
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,11 +294,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         text = unique_text([list(b) for b in frame["blocks"]])
         return pd.DataFrame({"id": frame["id"], "url": frame["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    out = f"id {kind}, url string, text string, n_chars bigint"
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, host, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = np.unique(run_keys(host, [t for b in blocks for t in b.split(" ")]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), uid, np.int64)), pa.array(keys)], names=["uid", "key"])
+
+    def uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = []
+            for host, blocks, often in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                tokens = [b.split(" ") for b in blocks]
+                text.append(own_text(tokens, covered_by(host, [t for b in tokens for t in b], np.array(often or [], np.int64))))
+            yield result(batch.column(0), batch.column(1), text)
+
     decided = source.where(marked).mapInArrow(whole, out)
-    rest = materialize(source.where(~marked).mapInArrow(parsed, f"id {kind}, url string, host string, blocks array<string>, size bigint"), "undecided")
+    rest = materialize(source.where(~marked).mapInArrow(parsed, f"id {kind}, url string, host string, blocks array<string>, size bigint").withColumn("uid", F.monotonically_increasing_id()), "undecided")
     if rest.isEmpty():
         return decided.toDF(id_col, "url", "text", "n_chars")
-    parts = rest.groupBy("host").agg((F.floor(F.sum("size") / GROUP_CHARS) + 1).alias("parts"))
-    dealt = rest.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("id", "url", "blocks"), "parts"))
-    return decided.unionAll(dealt.groupBy("host", "part").applyInPandas(undecided_text, out)).toDF(id_col, "url", "text", "n_chars")
+    large = F.broadcast(materialize(rest.groupBy("host").agg(F.sum("size").alias("size")).where(F.col("size") > GROUP_CHARS).select("host"), "hosts"))  # a row per GROUP_CHARS of text at most
+    small_text = rest.join(large, "host", "left_anti").groupBy("host").applyInPandas(undecided_text, out)
+    big = rest.join(large, "host", "left_semi")
+    keys = big.select("uid", "host", "blocks").mapInArrow(keyed, "uid bigint, key bigint")
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES).select("key")
+    runs = keys.join(often, "key").groupBy("uid").agg(F.collect_list("key").alias("often"))
+    big_text = big.join(runs, "uid", "left").select("id", "url", "host", "blocks", "often").mapInArrow(uncovered, out)
+    return decided.unionAll(small_text).unionAll(big_text).toDF(id_col, "url", "text", "n_chars")

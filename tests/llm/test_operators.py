@@ -199,6 +199,24 @@ def test_html(spark):
     assert got[1] == "page 1 says something of its own" and got[9].startswith("Title & more\nOne two.") and got[10] == ""
 
 
+SHELL = "<html><body><p>Home of all the good things that we have to sell here</p><p>page {} says something of its own</p>{}</body>"
+
+
+def test_html_of_a_large_host(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**9, n))
+    shared = [words(12) for _ in range(20)]
+    rows = [(i, f"http://h.com/{i}", f"<body><p>{words(150)}</p><p>{shared[i % 20] if i < 100 else words(9)}</p></body>") for i in range(1200)]
+    rows += [(2000 + i, f"http://g.com/{i}", f"<body><p>{shared[0]}</p></body>") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    text = lambda: {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert sum(len(h) for _, _, h in rows) > html_text.GROUP_CHARS
+    large = text()
+    assert not any("\n" in large[i] for i in range(100)) and all("\n" in large[i] for i in range(100, 1200)) and large[2000] == shared[0]
+    monkeypatch.setattr(html_text, "GROUP_CHARS", 1 << 40)
+    assert text() == large
+
+
 def test_repeated_runs():
     rng = np.random.default_rng(2)
     pages = [np.r_[rng.integers(0, 50, 30), np.arange(100, 112), rng.integers(0, 50, 5)] for _ in range(4)]
