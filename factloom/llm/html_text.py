@@ -2,7 +2,7 @@
 
 Structure decides where it can: what a page marks as its article (or main part) is kept,
 without the parts in it that tags, classes or roles mark as something else. A page without
-such a mark is undecided. The undecided
+such a mark is undecided; the parser says so, not a pattern over the raw html. The undecided
 pages of a host are joined to one token stream; its suffix array, sorted to a depth of
 ``MIN_TOKENS``, shows the runs that several distinct pages share. Tokens in such runs are
 boilerplate, the others stay. Of a host too large for one array, the same runs are found by
@@ -271,7 +271,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     repeat one another. Other columns are not read.
     """
     source = picked(pages, id=id_col, url=url_col, html=html_col)
-    marked = F.coalesce(F.col("html").rlike(r"(?i)<(article|main)[\s>/]|\brole\s*=\s*.?(main|article)\b"), F.lit(True))
     kind = source.schema["id"].dataType.simpleString()
     out = f"id {kind}, url string, text string, n_chars bigint"
 
@@ -280,11 +279,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield result(batch.column(0), batch.column(1), ["\n".join(blocks_of(h)[1]) for h in batch.column(2).to_pylist()])
+            found = [blocks_of(h) for h in batch.column(2).to_pylist()]
+            mine = pa.array([main or not blocks for main, blocks in found], pa.bool_())
+            yield result(batch.column(0).filter(mine), batch.column(1).filter(mine), ["\n".join(blocks) for main, blocks in found if main or not blocks])
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = [blocks_of(h)[1] for h in batch.column(2).to_pylist()]
+            found = [blocks_of(h) for h in batch.column(2).to_pylist()]
+            batch = batch.filter(pa.array([not main and bool(blocks) for main, blocks in found], pa.bool_()))
+            blocks = [b for main, b in found if not main and b]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([split_url(u)[0] for u in batch.column(1).to_pylist()], pa.string()),
                 pa.array(blocks, pa.list_(pa.string())), pa.array([sum(map(len, b)) for b in blocks], pa.int64()),
@@ -308,8 +311,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 text.append(own_text(tokens, covered_by(host, [t for b in tokens for t in b], np.array(often or [], np.int64))))
             yield result(batch.column(0), batch.column(1), text)
 
-    decided = source.where(marked).mapInArrow(whole, out)
-    rest = materialize(source.where(~marked).mapInArrow(parsed, f"id {kind}, url string, host string, blocks array<string>, size bigint").withColumn("uid", F.monotonically_increasing_id()), "undecided")
+    # Pages are parsed twice, so that no text of decided ones is stored.
+    decided = source.mapInArrow(whole, out)
+    rest = materialize(source.mapInArrow(parsed, f"id {kind}, url string, host string, blocks array<string>, size bigint").withColumn("uid", F.monotonically_increasing_id()), "undecided")
     if rest.isEmpty():
         return decided.toDF(id_col, "url", "text", "n_chars")
     large = F.broadcast(materialize(rest.groupBy("host").agg(F.sum("size").alias("size")).where(F.col("size") > GROUP_CHARS).select("host"), "hosts"))  # a row per GROUP_CHARS of text at most

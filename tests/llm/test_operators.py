@@ -202,6 +202,13 @@ def test_html(spark):
 SHELL = "<html><body><p>Home of all the good things that we have to sell here</p><p>page {} says something of its own</p>{}</body>"
 
 
+def test_html_marks_that_open_no_main_part(spark):
+    tails = ["<!-- <main> -->", "<script>var a = '<article >'</script>", "<style>[role=main] {}</style>", "<main></main>", "<nav><article>x</article></nav>"]
+    rows = [(i, f"http://h.com/{i}", SHELL.format(i, t)) for i, t in enumerate(tails)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {i: f"page {i} says something of its own" for i in range(len(tails))}
+
+
 def test_html_of_a_large_host(spark, monkeypatch):
     rng = np.random.default_rng(5)
     words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**9, n))
