@@ -127,9 +127,10 @@ def document_dedupe(spark, sf_dir):
 
 
 def repeated_furniture(spark, sf_dir):
-    """First lines that two documents of a source share, documents as pages."""
-    lines = rendered.read(spark, sf_dir, "documents").select("source", "doc_id", layout.furniture_key(F.substring_index("text", "\n", 1)).alias("line"))
-    return lines.groupBy("source", "line").agg(F.count_distinct("doc_id").alias("pages")).where("pages >= 2")
+    """Lines, at any place, that two documents of a source share, documents as pages."""
+    docs = rendered.read(spark, sf_dir, "documents")
+    lines = docs.select("source", "doc_id", F.explode(F.split("text", "\r?\n")).alias("raw")).where(F.trim("raw") != "").select("source", layout.furniture_key(F.col("raw")).alias("line"), "doc_id").distinct()
+    return lines.groupBy("source", "line").agg(F.count("doc_id").alias("pages")).where("pages >= 2")
 
 
 def predicate_registry(spark, sf_dir):
@@ -236,6 +237,7 @@ _SQL = {
     "component_totals": "SELECT CAST(l_orderkey AS VARCHAR) AS subject_id, count(*) AS n_components, CASE WHEN l_orderkey % 7 = 0 THEN 'contradicts' ELSE 'corroborates' END AS relation_type, CASE WHEN l_orderkey % 7 = 0 THEN 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS difference FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2",
     "table_cells_to_facts": _VALUE + "SELECT nation, 'order_value' AS predicate_key, label AS fiscal_year, CAST(b * 100000 AS DOUBLE) AS number, 'INR' AS currency, 'unit_from_table_header' AS warnings FROM w",
     "document_dedupe": "SELECT sha256(text) AS content_hash, printf('%012d', min(doc_id)) AS original_filename FROM documents GROUP BY 1",
+    "repeated_furniture": r"WITH l AS (SELECT source, doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS raw FROM documents) SELECT source, trim(regexp_replace(regexp_replace(lower(raw), '\d+', '#', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ·|—-#') AS line, count(DISTINCT doc_id) AS pages FROM l WHERE trim(raw) <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2",
     "predicate_registry": "WITH p AS (SELECT p_partkey, p_type, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS key, CASE WHEN p_partkey % 2 = 0 THEN 'number' ELSE 'text' END AS kind FROM part), f AS (SELECT key, arg_min(kind, p_partkey) AS value_kind FROM p GROUP BY key) SELECT key, value_kind, count(DISTINCT p_type) FILTER (kind = value_kind) AS aliases, count(*) FILTER (kind <> value_kind) AS conflicts FROM p JOIN f USING (key) GROUP BY ALL",
     "entity_resolution": "SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE s_suppkey % 4 WHEN 0 THEN 'identifier' WHEN 1 THEN 'exact_name' ELSE 'new_entity' END AS method, CASE WHEN s_suppkey % 4 = 2 THEN 'new' ELSE 's' || s_suppkey END AS entity, CASE s_suppkey % 4 WHEN 0 THEN 0.99 WHEN 1 THEN 0.96 ELSE 0.9 END::DOUBLE AS confidence FROM supplier WHERE s_suppkey % 4 <> 3",
     "facts_page": _VALUE + "SELECT nation AS subject_id, label AS fiscal_year, CAST(a * 10000 AS DOUBLE) AS number FROM w ORDER BY nation, label LIMIT 10 OFFSET 10",

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import queries
 from factloom.functions import context, names, numbers
 from factloom.operators import compare, entities, extract, layout
 from factloom.schemas import BLOCKS, CELLS, FACTS
@@ -112,3 +113,9 @@ def test_incremental_equals_full(spark):
 def test_names(spark):
     df = spark.createDataFrame([("Delhivery Pvt. Ltd.",), ("  Dr. Émile  Zölà, ",)], "n string")
     assert [r[0] for r in df.select(names.name_key(F.col("n"))).collect()] == ["delhivery", "emile zola"]
+
+
+def test_repeated_furniture_finds_lines_at_any_place(spark, tmp_path):
+    rows = [(1, "a", "First one\nbody\nPage 1 of 9"), (2, "a", "Another\n\nPage 22 of 9"), (3, "b", "First one\nbody"), (4, "a", "body\nbody\n"), (5, "a", None)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(queries.repeated_furniture(spark, tmp_path).collect()) == [("a", "body", 2), ("a", "page # of", 2)]
