@@ -157,6 +157,17 @@ def entity_resolution(spark, sf_dir):
     return r.select("id", "method", F.when(F.col("method") == "new_entity", "new").otherwise(F.col("entity_id")).alias("entity"), F.round("confidence", 4).alias("confidence"))
 
 
+def entity_resolution_near(spark, sf_dir):
+    """All suppliers: those of entity_resolution, and the others by a name with a letter more (one good match) or another letter (none good enough)."""
+    mentions, catalogue = _suppliers(spark, sf_dir)
+    s = rendered.read(spark, sf_dir, "supplier").where("s_suppkey % 4 = 3")
+    near = F.when(F.col("s_suppkey") % 8 == 3, F.concat("s_name", F.lit("x"))).otherwise(F.regexp_replace("s_name", "^.", "Z"))
+    more = s.select(F.col("s_suppkey").cast("string").alias("id"), near.alias("name"), F.lit("organisation").alias("entity_type"), F.create_map().cast("map<string,string>").alias("identifiers"))
+    r = entities.resolve(mentions.unionByName(more), catalogue)
+    entity = F.when(F.col("method") == "new_entity", "new").when(F.col("method").isin("conflict", "needs_review"), "review").otherwise(F.col("entity_id"))
+    return r.select("id", "method", entity.alias("entity"), F.round("confidence", 4).alias("confidence"), F.array_contains("candidates", F.concat(F.lit("s"), "id")).alias("found"))
+
+
 def incremental_equals_full(spark, sf_dir):
     """Relations found by linking report B's facts to stored ones of report A."""
     facts, _ = extract.numeric_facts(rendered.two_reports(spark, sf_dir))
@@ -240,6 +251,7 @@ _SQL = {
     "repeated_furniture": r"WITH l AS (SELECT source, doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS raw FROM documents) SELECT source, trim(regexp_replace(regexp_replace(lower(raw), '\d+', '#', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ·|—-#') AS line, count(DISTINCT doc_id) AS pages FROM l WHERE trim(raw) <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2",
     "predicate_registry": "WITH p AS (SELECT p_partkey, p_type, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS key, CASE WHEN p_partkey % 2 = 0 THEN 'number' ELSE 'text' END AS kind FROM part), f AS (SELECT key, arg_min(kind, p_partkey) AS value_kind FROM p GROUP BY key) SELECT key, value_kind, count(DISTINCT p_type) FILTER (kind = value_kind) AS aliases, count(*) FILTER (kind <> value_kind) AS conflicts FROM p JOIN f USING (key) GROUP BY ALL",
     "entity_resolution": "SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE s_suppkey % 4 WHEN 0 THEN 'identifier' WHEN 1 THEN 'exact_name' ELSE 'new_entity' END AS method, CASE WHEN s_suppkey % 4 = 2 THEN 'new' ELSE 's' || s_suppkey END AS entity, CASE s_suppkey % 4 WHEN 0 THEN 0.99 WHEN 1 THEN 0.96 ELSE 0.9 END::DOUBLE AS confidence FROM supplier WHERE s_suppkey % 4 <> 3",
+    "entity_resolution_near": "WITH k AS (SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN 'identifier' WHEN 4 THEN 'identifier' WHEN 1 THEN 'exact_name' WHEN 5 THEN 'exact_name' WHEN 3 THEN 'fuzzy_name' WHEN 7 THEN 'needs_review' ELSE 'new_entity' END AS method FROM supplier) SELECT CAST(s_suppkey AS VARCHAR) AS id, method, CASE method WHEN 'new_entity' THEN 'new' WHEN 'needs_review' THEN 'review' ELSE 's' || s_suppkey END AS entity, CASE method WHEN 'identifier' THEN 0.99 WHEN 'exact_name' THEN 0.96 WHEN 'fuzzy_name' THEN 0.95 WHEN 'needs_review' THEN 0.6 ELSE 0.9 END::DOUBLE AS confidence, method <> 'new_entity' AS found FROM k",
     "facts_page": _VALUE + "SELECT nation AS subject_id, label AS fiscal_year, CAST(a * 10000 AS DOUBLE) AS number FROM w ORDER BY nation, label LIMIT 10 OFFSET 10",
     "document_counts": _VALUE + ", r AS (SELECT count(*) AS n FROM w JOIN w AS o USING (nation)) SELECT d AS document_id, count(*) AS facts, any_value(r.n) AS relations, 0::BIGINT AS failures FROM w, r, (VALUES ('report-a'), ('report-b')) AS t(d) GROUP BY d",
     "interleaved_facts": _VALUE + "SELECT CAST(i AS INTEGER) AS turn, 2::BIGINT AS documents FROM (SELECT count(*) AS n FROM w), range(1, 1000000) AS t(i) WHERE i <= n",
@@ -250,7 +262,7 @@ _SQL = {
 
 _ALL = (
     number_golden, range_golden, date_golden, period_golden, key_golden, number_roundtrip, relations_linked, relation_types, period_reconciled, evidence_verified, growth_checks, component_totals, table_cells_to_facts,
-    candidate_counts, document_dedupe, repeated_furniture, predicate_registry, entity_resolution, incremental_equals_full, facts_page, document_counts, interleaved_facts, reprocess_isolation, passage_layout, model_replay_grounding, name_keys,
+    candidate_counts, document_dedupe, repeated_furniture, predicate_registry, entity_resolution, entity_resolution_near, incremental_equals_full, facts_page, document_counts, interleaved_facts, reprocess_isolation, passage_layout, model_replay_grounding, name_keys,
 )
 
 

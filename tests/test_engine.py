@@ -1,5 +1,7 @@
 """Decisions, groundings and folds on hand-made rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,25 @@ def test_entities(spark):
     assert round(entities.similarity("international monetary fund", "international monetary funds"), 2) == 98.18
 
 
+def test_similar_names_equal_brute_force(spark):
+    rng = random.Random(8)
+    names_c = sorted({" ".join("".join(rng.choices("abcdeor", k=rng.randint(2, 9))) for _ in range(rng.randint(1, 3))) for _ in range(60)} | {"alphabet holdings of rome", "alphabet holdings of romo"})
+    cut = lambda n, k: n[:k] + rng.choice(["", "x", n[k] + "e"]) + n[k + 1 :]
+    mentions = {str(i): n for i, n in enumerate({cut(n, rng.randrange(len(n))) for n in names_c for _ in range(3)} | {"alphabet holdings of romeo"})}
+    key = lambda n: spark.createDataFrame([(x,) for x in n], "n string").select(names.name_key(F.col("n"))).collect()
+    keys_m, keys_c = ([r[0] for r in key(n)] for n in (mentions.values(), names_c))
+    want = {}
+    for i, k in zip(mentions, keys_m, strict=True):
+        scores = sorted((entities.similarity(k, c) for c in keys_c if len(k) >= 5), reverse=True)
+        best, second = [*(s for s in scores if s >= entities.REVIEW), 0.0, 0.0][:2]
+        exact = keys_c.count(k)
+        want[i] = "needs_review" if exact > 1 else "exact_name" if exact else "fuzzy_name" if best >= entities.MERGE and best - second >= entities.MARGIN else "needs_review" if best else "new_entity"
+    df = spark.createDataFrame([(i, n, "company", {}) for i, n in mentions.items()], "id string, name string, entity_type string, identifiers map<string,string>")
+    catalogue = spark.createDataFrame([(n, n, "company", {}, []) for n in names_c], "id string, canonical_name string, entity_type string, identifiers map<string,string>, aliases array<string>")
+    assert {r["id"]: r["method"] for r in entities.resolve(df, catalogue).collect()} == want
+    assert {"fuzzy_name", "needs_review", "new_entity"} <= set(want.values())
+
+
 def test_layout(spark):
     page = lambda p, k, x0, y0, x1, y1, t: ("d", p, 600.0, 800.0, k, float(x0), float(y0), float(x1), float(y1), t)
     blocks = [page(p, 0, 50, 30, 300, 40, "Annual Report") for p in range(3)] + [page(p, 9, 50, 780, 90, 790, f"Page {p}") for p in range(3)]
