@@ -1,6 +1,6 @@
 """Edited copies of images by local descriptors.
 
-Corners are found on several scales; each has an orientation (towards its patch's intensity
+Corners are found on five scales, over a factor of four, and all are kept; each has an orientation (towards its patch's intensity
 centroid) and 256 binary tests of smoothed intensities, turned by that orientation.
 A descriptor goes into twelve tables by 64 of its bits each, chosen at random; descriptors
 in one cell of a table make their images candidates. A pair is a copy if enough of its mutually nearest
@@ -26,8 +26,8 @@ from factloom.llm._io import materialize, picked
 from factloom.llm._text import U64, mix
 from factloom.llm.graph import across, components, shared, stars
 
-SCALES = (1.0, 0.7)
-PER_SCALE = 12
+#: Halves and quarters of a scale are scales too, so that copies of half and a quarter of the size have some in common.
+SCALES = (1.0, 0.7, 0.5, 0.35, 0.25)
 TESTS, TABLES = 256, 12
 PATCH = 18
 MOST_BITS = 44
@@ -116,6 +116,10 @@ def _png(data: bytes) -> np.ndarray | None:
 
 
 def _resized(image: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Averages of two by two while the target is half the size or less, then linear between neighbours."""
+    while image.shape[0] >= 2 * h and image.shape[1] >= 2 * w:
+        even = image[: image.shape[0] // 2 * 2, : image.shape[1] // 2 * 2]
+        image = (even[::2, ::2] + even[1::2, ::2] + even[::2, 1::2] + even[1::2, 1::2]) / 4
     for axis, n in ((0, h), (1, w)):
         m = image.shape[axis]
         at = np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1)
@@ -137,7 +141,7 @@ def _smoothed(image: np.ndarray, times: int = 1) -> np.ndarray:
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, scale, angle) and the 256 bits (as four 64-bit words) of the corners."""
+    """(x, y, scale, angle) and the 256 bits (as four 64-bit words) of all corners on all scales."""
     h, w = image.shape
     shrink = min(1.0, MAX_SIDE / max(h, w))
     places, words = [], []
@@ -157,8 +161,6 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ys, xs = np.nonzero((strength >= around) & (strength > 1.0))
         if not len(ys):
             continue
-        best = np.lexsort((xs, ys, -strength[ys, xs]))[:PER_SCALE]
-        ys, xs = ys[best], xs[best]
         smooth = _smoothed(small, 2)
         at = lambda px, py, hh=hh, ww=ww, smooth=smooth: smooth[np.clip(np.rint(py).astype(int), 0, hh - 1), np.clip(np.rint(px).astype(int), 0, ww - 1)]
         disc = at(xs[:, None] + _DISC[:, 0], ys[:, None] + _DISC[:, 1])

@@ -346,6 +346,22 @@ def test_images(spark):
     assert images.decode(b"P5 2 2 255\n\x01\x02\x03\x04").tolist() == [[1, 2], [3, 4]] and images.decode(b"junk") is None
 
 
+@pytest.mark.parametrize("side", [256, 1024])
+def test_scaled_and_cropped_copies(side):
+    rng = np.random.default_rng(side)
+    grown = lambda n: images._resized(rng.uniform(-60, 60, (n, n)).astype(np.float32), side, side)
+    first, other = (np.clip(127 + grown(side // 4) + grown(side // 8), 0, 255) for _ in range(2))
+    half = first.reshape(side // 2, 2, side // 2, 2).mean((1, 3))
+    quarter = half.reshape(side // 4, 2, side // 4, 2).mean((1, 3))
+    at = side // 4 + 3
+    crop = first[at : at + side // 2, at : at + side // 2]
+    whole = images.describe(first)
+    for copy in (half, quarter, crop):
+        found = images.describe(np.rint(copy))
+        assert images.inliers(*whole, *found) >= images.MIN_INLIERS and len(np.intersect1d(images.cells(whole[1]), images.cells(found[1])))
+    assert images.inliers(*whole, *images.describe(other)) < images.MIN_INLIERS
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
