@@ -82,23 +82,36 @@ def _page(frame: pd.DataFrame, limit: int) -> pd.DataFrame:
         c, last = column.get(r.block_no, -1), merged[-1] if merged else None
         if last and last["role"] == r.role and last["c"] == c and -1 <= r.y0 - last["y1"] <= 9 and abs(r.x0 - last["x0"]) <= 35 and len(last["text"]) + 1 + len(r.text) <= limit:
             last["text"] += "\n" + r.text
-            last["y1"], last["x0"] = max(last["y1"], r.y1), min(last["x0"], r.x0)
+            last["y1"], last["x0"], last["y0"], last["x1"] = max(last["y1"], r.y1), min(last["x0"], r.x0), min(last["y0"], r.y0), max(last["x1"], r.x1)
         else:
-            merged.append({"role": r.role, "c": c, "y1": r.y1, "x0": r.x0, "text": r.text})
+            merged.append({"role": r.role, "c": c, "y1": r.y1, "x0": r.x0, "y0": r.y0, "x1": r.x1, "text": r.text})
     out, at = [], 0
     for m in merged:
         for _, text in split_text(m["text"], limit):
-            out.append((rows[0].document_id, rows[0].page_index, len(out), m["role"], text, at, at + len(text)))
+            out.append((rows[0].document_id, rows[0].page_index, len(out), m["role"], text, at, at + len(text), m["x0"], m["y0"], m["x1"], m["y1"]))
             at += len(text) + 2
-    return pd.DataFrame(out, columns=["document_id", "page_index", "reading_order", "role", "text", "char_start", "char_end"])
+    return pd.DataFrame(out, columns=["document_id", "page_index", "reading_order", "role", "text", "char_start", "char_end", "x0", "y0", "x1", "y1"])
 
 
-def passages(blocks: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Ordered, merged and split passages of each page, with their offsets in the page."""
+def placed(blocks: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Passages with the box of their blocks: x0, y0, x1, y1."""
     flat = roles(blocks)
-    kind = "document_id string, page_index int, reading_order int, role string, text string, char_start int, char_end int"
+    kind = "document_id string, page_index int, reading_order int, role string, text string, char_start int, char_end int, x0 double, y0 double, x1 double, y1 double"
     made = flat.groupBy("document_id", "page_index").applyInPandas(lambda f: _page(f, limit), kind)
-    return made.withColumns({"id": short_hash("passage_", F.col("document_id"), F.col("page_index"), F.col("reading_order"), F.col("text")), "text_hash": F.sha2("text", 256)}).select(*(c.split()[0] for c in PASSAGES.split(", ")))
+    return made.withColumns({"id": short_hash("passage_", F.col("document_id"), F.col("page_index"), F.col("reading_order"), F.col("text")), "text_hash": F.sha2("text", 256)}).select(*(c.split()[0] for c in PASSAGES.split(", ")), "x0", "y0", "x1", "y1")
+
+
+def passages(blocks: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Ordered, merged and split passages of each page, with their offsets in the page."""
+    return placed(blocks, limit).drop("x0", "y0", "x1", "y1")
+
+
+def outside_tables(passages: DataFrame, tables: DataFrame, share: float = 0.5) -> DataFrame:
+    """Passages (with boxes) without those that a table (document_id, page_index, x0, y0, x1, y1) covers by the share or more; their numbers are the table's."""
+    box = lambda s: F.struct(*(F.col(f"{s}.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")))
+    p, t = passages.alias("p"), tables.alias("t")
+    same = (F.col("p.document_id") == F.col("t.document_id")) & (F.col("p.page_index") == F.col("t.page_index"))
+    return p.join(t, same & (overlap(box("p"), box("t")) >= share), "left_anti")
 
 
 def ocr_needed(pages: DataFrame, made: DataFrame) -> DataFrame:
@@ -130,4 +143,4 @@ def overlap(a: Column, b: Column) -> Column:
     return side("x0", "x1") * side("y0", "y1") / F.nullif((a["x1"] - a["x0"]) * (a["y1"] - a["y0"]), F.lit(0.0))
 
 
-__all__ = ["clamp", "clean", "furniture_key", "keep_tables", "ocr_needed", "overlap", "passages", "roles", "split_text", "status"]
+__all__ = ["clamp", "clean", "furniture_key", "keep_tables", "ocr_needed", "outside_tables", "overlap", "passages", "placed", "roles", "split_text", "status"]

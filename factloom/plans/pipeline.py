@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from factloom.operators import audit, compare, extract
+from factloom.operators import audit, compare, extract, layout
 
 
 @dataclass
@@ -17,9 +17,9 @@ class Result:
     findings: DataFrame
 
 
-def run(passages: DataFrame, defaults: DataFrame | None = None, cross_document: bool = False) -> Result:
-    """passages: schemas.PASSAGES and subject_id."""
-    facts, failures = extract.numeric_facts(passages, defaults)
+def run(passages: DataFrame, defaults: DataFrame | None = None, cross_document: bool = False, tables: DataFrame | None = None) -> Result:
+    """passages: schemas.PASSAGES and subject_id; with tables (boxes of each page's tables) also boxes, and numbers in tables are no prose facts."""
+    facts, failures = extract.numeric_facts(passages if tables is None else layout.outside_tables(passages, tables), defaults)
     return Result(facts, failures, compare.relations(compare.pairs(facts, cross_document=cross_document)), audit.discover_growth(facts))
 
 

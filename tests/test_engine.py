@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom import queries
 from factloom.functions import context, names, numbers
 from factloom.operators import compare, entities, extract, layout
+from factloom.plans import pipeline
 from factloom.schemas import BLOCKS, CELLS, FACTS
 
 
@@ -75,6 +76,22 @@ def test_status_records(spark):
     assert (b["name"], b["identifier"]) == ("Delhivery Limited", "U63090DL2011PLC221234")
 
 
+def test_record_over_a_page_break(spark):
+    rows = [(0, 0, "Mr. First Person (DIN: 00000001)"), (0, 1, "Ms. Second Person, address: Mumbai"), (1, 0, "Occupation: Service"), (1, 1, "DIN: 00000002, since 2020. DIN: 00000003"), (2, 0, "DIN: 00000004")]
+    df = spark.createDataFrame([(f"p{p}{k}", "d", p, k, "body", t, 0, "s") for p, k, t in rows], "id string, document_id string, page_index int, reading_order int, role string, text string, char_start int, subject_id string")
+    assert {r["identifier"]: r["name"] for r in extract.identifier_records(df).collect()} == {"00000001": "First Person", "00000002": "Second Person", "00000003": None, "00000004": None}
+
+
+def test_table_numbers_are_no_prose_facts(spark):
+    block = lambda k, y, t: ("d", 0, 600.0, 800.0, k, 50.0, float(y), 300.0, y + 20.0, t)
+    line = LINE.format(scope="consolidated ", fy="FY24", v="{}")
+    df = spark.createDataFrame([block(0, 200, line.format("₹100 crore")), block(1, 400, line.format("₹200 crore"))], BLOCKS)
+    placed = layout.placed(df).withColumn("subject_id", F.lit("s"))
+    tables = spark.createDataFrame([("d", 0, 40.0, 390.0, 400.0, 500.0), ("d", 1, 0.0, 0.0, 600.0, 800.0), ("d", 0, 40.0, 212.0, 400.0, 300.0)], "document_id string, page_index int, x0 double, y0 double, x1 double, y1 double")
+    assert [r["quote"] for r in pipeline.run(placed, tables=tables).facts.collect()] == ["₹100 crore"]
+    assert pipeline.run(placed).facts.count() == 2
+
+
 def test_tables(spark):
     cells = spark.createDataFrame([("d", 0, 0, r, c, t) for r, row in enumerate([["₹ Cr", "FY23", "FY24"], ["Revenue from customers", "7,225", "8,142"], ["Margin", "18.4%", "x"]]) for c, t in enumerate(row)], CELLS)
     got = {r["raw"]: r for r in extract.table_facts(cells).collect()}
