@@ -20,6 +20,8 @@ from factloom.llm._io import crc_mod, materialize, picked
 from factloom.llm._text import LOWER_TOKENS, RAW_TOKENS, U64, Words, mix, slices
 
 HELD_OUT_FOLDS = 5
+#: Texts of more than this part of a sample's bytes are long.
+LONG_SHARE = 16
 #: The bigram of any word and itself.
 _AGAIN = U64(0xA5A5A5A5A5A5A5A5)
 
@@ -176,22 +178,24 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: tup
 
     Up to rows_per_class[l] rows of label l, by a hash of the id; of repeated labels the
     largest counts. Texts are taken in that order up to ``most_bytes`` in all, whole or not
-    at all; null texts count as empty.
+    at all; one that doesn't fit any more is passed over, and the next are tried. Texts longer
+    than ``most_bytes // LONG_SHARE`` (1 MiB or 768 KiB) come after all others, so that they
+    don't take the others' place. Null texts count as empty.
     """
     marks = picked(labels, id=label_id_col, y=label).where("id is not null and y is not null").where(crc_mod("id", HELD_OUT_FOLDS) != 0).groupBy("id").agg(F.max("y").cast("int").alias("y"))
     n = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).where("y in (0, 1)").collect()}
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 24)) / float(1 << 24)
     share = F.when(F.col("y") == 1, min(1.0, rows_per_class[1] / max(1, n.get(1, 0)))).when(F.col("y") == 0, min(1.0, rows_per_class[0] / max(1, n.get(0, 0))))
     chosen = marks.withColumn("place", place).where(F.col("place") < share)  # about the sum of rows_per_class
-    texts = materialize(picked(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select("place", "y", F.coalesce("text", F.lit("")).alias("text")), "labelled")
-    texts = texts.withColumn("size", F.octet_length("text"))
-    size, least = 0, 2.0
-    for r in texts.select("place", "size").orderBy("place").limit(2 * sum(rows_per_class)).collect():
-        size += r["size"]
-        if size > most_bytes:
-            least = r["place"]
-            break
-    found = texts.where(F.col("place") < least).select("place", "y", "text").limit(2 * sum(rows_per_class)).collect()
+    texts = materialize(picked(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select("place", "y", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid")), "labelled")
+    sizes = texts.select("uid", "place", F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))
+    size, wanted = 0, []
+    for r in sizes.where(F.col("size") <= most_bytes).orderBy(F.col("size") > most_bytes // LONG_SHARE, "place", "hash").limit(2 * sum(rows_per_class)).collect():
+        if size + r["size"] <= most_bytes:
+            size += r["size"]
+            wanted.append((r["uid"],))
+    ids = docs.sparkSession.createDataFrame(wanted, "uid bigint")  # 2 * sum(rows_per_class) at most
+    found = texts.join(F.broadcast(ids), "uid").select("place", "y", "text").collect()
     found = sorted(((r["place"], r["text"].encode(), r["y"]) for r in found))
     return [t for _, t, _ in found], np.array([y for *_, y in found], np.int64)
 

@@ -236,6 +236,19 @@ def test_repeated_runs():
         assert (cover == want).all()
 
 
+def test_long_labelled_texts_leave_the_others_in(spark):
+    rows = [(i, f"text {i}") for i in range(100)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id bigint, toxic int")
+    sample = lambda texts: subword.labelled(spark.createDataFrame(texts, "doc_id bigint, text string"), labels, "toxic", (100, 100), 4000)
+    usual = sample(rows)[0]
+    assert 60 < len(usual) < 100
+    for long in (5000, 3900):  # never fits; fits, but not with the others
+        for k in range(0, 100, 9):
+            got = sample([(i, "x" * long if i == k else t) for i, t in rows])[0]
+            assert set(got) == set(usual) - {f"text {k}".encode()}
+    assert [len(t) for t in sample([(i, "x" * 3900) for i in range(5)])[0]] == [3900]
+
+
 def test_subwords_generalise():
     rng = np.random.default_rng(0)
     common = ["the", "river", "house", "green", "walked", "slowly", "market", "music"]
