@@ -201,10 +201,31 @@ def reprocess_isolation(spark, sf_dir):
     return left["facts"].select(F.lit("facts").alias("what")).unionAll(left["relations"].select(F.lit("relations"))).unionAll(left["passages"].select(F.lit("passages"))).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
 
 
+def page_blocks(docs):
+    """Documents (doc_id, text) as pages of up to eight lines: a wide heading, then two columns of blocks, in turn; a header and a numbered footer on each page.
+
+    Block numbers don't follow the reading order. In a column, each second block touches the one above it.
+    """
+    lines = F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != "")
+    rows = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(lines).alias("at", "text"))
+    k, page = F.col("at") % 8, (F.col("at") / 8).cast("int")
+    slot = ((k - 1) / 2).cast("int")  # place in its column
+    left = k % 2 == 1
+    y0 = F.when(k == 0, 110.0).otherwise(150.0 + slot * 100 - F.when(slot % 2 == 1, 75.0).otherwise(0.0))
+    x0 = F.when(k == 0, 40.0).when(left, 50.0).otherwise(340.0)
+    box = lambda *c: [x.cast("double").alias(n) for x, n in zip(c, ("x0", "y0", "x1", "y1"), strict=True)]
+    size = [F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height")]
+    body = rows.select("document_id", page.alias("page_index"), *size, (9 - k).cast("int").alias("block_no"), *box(x0, y0, F.when(k == 0, 560.0).otherwise(x0 + 200), y0 + 20), "text")
+    one = body.select("document_id", "page_index").distinct()
+    edge = lambda no, y, text: one.select("document_id", "page_index", *size, F.lit(no).alias("block_no"), *box(F.lit(50.0), F.lit(y), F.lit(300.0), F.lit(y + 10)), text.alias("text"))
+    return body.unionByName(edge(0, 30.0, F.lit("Annual Report"))).unionByName(edge(10, 780.0, F.concat(F.lit("Page "), (F.col("page_index") + 1).cast("string"))))
+
+
 def passage_layout(spark, sf_dir):
-    """Documents as pages of one block each: passages, their roles and sizes."""
-    docs = rendered.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("page_index"), *(F.lit(x).alias(c) for c, x in (("page_width", 600.0), ("page_height", 800.0), ("block_no", 0), ("x0", 50.0), ("y0", 120.0), ("x1", 250.0), ("y1", 700.0))), "text")
-    return layout.passages(docs).groupBy("document_id").agg(F.count(F.lit(1)).alias("passages"), F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("chars"))
+    """Documents as pages with furniture, a heading and two columns: passages by role, and a hash of their texts in reading order."""
+    made = layout.passages(page_blocks(rendered.read(spark, sf_dir, "documents")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "role", "text"))), lambda x: F.concat_ws(":", x["role"], x["text"])), "\n\n")
+    return made.groupBy("document_id", "page_index").agg(F.count(F.lit(1)).alias("passages"), F.count_if(F.col("role") == "header").alias("headers"), F.count_if(F.col("role") == "footer").alias("footers"), F.sum(F.length("text")).alias("chars"), F.sha2(text, 256).alias("digest"))
 
 
 def model_replay_grounding(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Decisions, groundings and folds on hand-made rows."""
 
+import hashlib
 import random
 
 import pytest
@@ -139,6 +140,27 @@ def test_layout(spark):
     assert all(len(t) <= 120 for _, t in layout.split_text("This is one sentence of text. " * 30, 120))
 
 
+def test_passage_layout_equals_brute_force(spark, tmp_path):
+    docs = [(1, "\n".join(f"Line {chr(97 + i)} of one" for i in range(19))), (2, "Only line"), (3, None), (4, "\n\n")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for d, text in docs:
+        lines = [x for x in (text or "").split("\n") if x.strip()]
+        for p in range(0, len(lines), 8):
+            heading, *rest = lines[p : p + 8]
+            parts = [("body", heading)]
+            for column in (rest[::2], rest[1::2]):  # the left one whole, then the right one; blocks that touch are one
+                parts += [("body", "\n".join(column[i : i + 2])) for i in range(0, len(column), 2)]
+            edges = [("header", "Annual Report")], [("footer", f"Page {p // 8 + 1}")]
+            if len(lines) <= 8:  # on one page only: no furniture, and as narrow blocks at the edges in the columns' order
+                edges = [("body", "Annual Report")], [("body", f"Page {p // 8 + 1}")]
+            parts = edges[0] + parts + edges[1]
+            digest = hashlib.sha256("\n\n".join(f"{r}:{t}" for r, t in parts).encode()).hexdigest()
+            want[str(d), p // 8] = (len(parts), *(sum(r == k for r, _ in parts) for k in ("header", "footer")), sum(len(t) for _, t in parts), digest)
+    got = {(r["document_id"], r["page_index"]): tuple(r)[2:] for r in queries.passage_layout(spark, tmp_path).collect()}
+    assert got == want and len(got) == 4
+
+
 def test_incremental_equals_full(spark):
     facts, _ = facts_of(spark, *(LINE.format(scope="consolidated ", fy=fy, v=v) for fy, v in (("FY24", "₹100 crore"), ("FY24", "₹100 crore"), ("FY23", "₹90 crore"), ("FY24", "₹120 crore"))))
     facts = spark.createDataFrame(facts.collect(), FACTS.replace("number:", "number:"))
