@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +34,30 @@ _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_lock = threading.Lock()
+#: Writes under way in each session, and the setting before the first of them.
+_writes: dict[int, tuple[int, str]] = {}
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The setting is on while any write of this session is under way, also of several threads."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        n, before = _writes.get(key) or (0, spark.conf.get(_CLEANUP, "false"))
+        _writes[key] = (n + 1, before)
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writes.pop(key)
+            if n > 1:
+                _writes[key] = (n - 1, before)
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{_scratch.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -51,12 +79,8 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write once and read back: later jobs reuse the rows, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}" if keep else new_path(spark, label)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,3 +96,31 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def release() -> None:
+    """Gives a worker's free memory back at the end of a task; idle workers keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def by_text(kind: str, judge: Callable[[], Callable[[pa.Array], pa.Array]]) -> Callable[[Column], Column]:
+    """A column of type ``kind`` from a text column. judge() runs once a task; what it returns maps a batch of texts.
+
+    Only the texts go to the workers and only the results come back; the rows' other columns
+    stay in the JVM.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = judge()
+        for texts in batches:
+            yield one(texts)
+        del one
+        release()
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)

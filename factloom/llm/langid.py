@@ -10,20 +10,25 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm._io import crc_mod, picked
+from factloom.llm._io import by_text, crc_mod, picked
 
 ORDER = 4
 SAMPLE_ROWS = 500
 SAMPLE_BYTES = 4 << 20
+#: Sampled bytes of all languages together; with many languages each gets an equal part of them.
+ALL_BYTES = 64 << 20
 MAX_LANGUAGES = 256
-CACHE_WORDS = 300_000
+#: Bytes that a worker's cache of word lengths may take, about; longer words aren't kept.
+CACHE_BYTES = 48 << 20
+CACHED_WORD = 64
+
+RESULT = "struct<lang_pred:string,score:double>"
 
 _SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -64,6 +69,8 @@ class LanguageScorer:
         self.languages = sorted(trees)
         self._trees = [trees[k] for k in self.languages]
         self._order = max((t.order for t in self._trees), default=0)
+        #: Entries of a cache: a dict's place, a short key and a number for each language.
+        self._most = max(1, CACHE_BYTES // 2 // (250 + 8 * len(trees)))
         self._steps: dict[bytes, np.ndarray] = {}
         self._index: dict[bytes, int] = {}
         self._lengths = np.zeros((1024, len(self._trees)))
@@ -75,7 +82,7 @@ class LanguageScorer:
             key = text[max(0, i - self._order) : i + 1]
             got = steps.get(key)
             if got is None:
-                if len(steps) >= CACHE_WORDS:
+                if len(steps) >= self._most:
                     steps.clear()
                 got = steps[key] = np.array([t.bits(key[:-1], key[-1]) for t in self._trees])
             out += got
@@ -86,17 +93,24 @@ class LanguageScorer:
         words = text.translate(_SPLIT).split()
         if not words:
             return None
+        distinct, total = set(words), np.zeros(len(self._trees))
+        if long := {w for w in distinct if len(w) > CACHED_WORD}:
+            for w in words:
+                if w in long:
+                    total += self._word(w)
+            words = [w for w in words if w not in long]
+            distinct -= long
         index = self._index
-        new = set(words).difference(index)
-        if len(index) + len(new) > CACHE_WORDS:
+        new = distinct.difference(index)
+        if len(index) + len(new) > self._most:
             index.clear()
-            new = set(words)
+            new = distinct
         while len(index) + len(new) > len(self._lengths):
             self._lengths = np.concatenate([self._lengths, np.zeros_like(self._lengths)])
         for w in new:
             self._lengths[len(index)] = self._word(w)
             index[w] = len(index)
-        return self._lengths[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].sum(0)
+        return total + self._lengths[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].sum(0)
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
         bits = self.lengths(text) if text else None
@@ -113,12 +127,13 @@ def _has_letter(text: bytes) -> bool:
 _LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
-def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> dict[str, PpmTree]:
+def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER, all_bytes: int = ALL_BYTES) -> dict[str, PpmTree]:
     """Trees from (id, text, lang) rows, from about ``sample_rows`` rows of each language.
 
-    Rows are taken by a hash of the id, in proportion to the language's number of rows, and
-    read in order of that hash up to ``sample_bytes`` of text a language; longer texts than
-    that aren't sampled. Up to MAX_LANGUAGES languages.
+    Rows are taken by a hash of the id and the text, in proportion to the language's number
+    of rows, and read in order of that hash up to ``sample_bytes`` of text a language (an
+    equal part of ``all_bytes``, if that is less); longer texts than that aren't sampled, and
+    equal rows count once. Up to MAX_LANGUAGES languages. No rows give no trees.
     """
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
@@ -126,40 +141,53 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAM
     if not counts:
         return {}
     spark = rows.sparkSession
+    most = min(sample_bytes, all_bytes // len(counts))
     share = spark.createDataFrame([(k, min(1.0, 1.1 * sample_rows / n)) for k, n in counts.items()], "lang string, share double")
-    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.withColumn("place", place).join(F.broadcast(share), "lang").where("place < share").where(F.octet_length("text") <= sample_bytes).select("lang", "place", F.col("text").cast("binary").alias("text"))
-    words: dict[str, Counter] = {k: Counter() for k in counts}
+    hashed = rows.withColumn("hash", F.xxhash64("id", "text")).withColumn("place", F.pmod("hash", F.lit(1 << 20)) / float(1 << 20))
+    sample = hashed.join(F.broadcast(share), "lang").where("place < share").where(F.octet_length("text") <= most)
+    wanted: dict[str, list[tuple[str, int]]] = {k: [] for k in counts}
     rows_in, bytes_in = Counter(), Counter()
-    for r in sorted(sample.collect(), key=lambda r: (r["place"], bytes(r["text"]))):
-        lang, text = r["lang"], bytes(r["text"])
-        if rows_in[lang] < sample_rows and bytes_in[lang] < sample_bytes:
+    for r in sorted(sample.select("lang", "place", "hash", F.octet_length("text").alias("size")).distinct().collect()):  # numbers, about sample_rows a language
+        lang = r["lang"]
+        if rows_in[lang] < sample_rows and bytes_in[lang] + r["size"] <= most:
             rows_in[lang] += 1
-            bytes_in[lang] += len(text)
-            words[lang].update(text.translate(_SPLIT).split())
+            bytes_in[lang] += r["size"]
+            wanted[lang].append((lang, r["hash"]))
+    chosen = spark.createDataFrame([w for rows_ in wanted.values() for w in rows_], "lang string, hash bigint")
+    words: dict[str, Counter] = {k: Counter() for k in counts}
+    for r in hashed.join(F.broadcast(chosen), ["lang", "hash"]).select("lang", F.col("text").cast("binary").alias("text")).distinct().toLocalIterator():
+        words[r["lang"]].update(bytes(r["text"]).translate(_SPLIT).split())
     return {k: PpmTree(w, order) for k, w in words.items() if w}
 
 
+def language(text: Column, trees: dict[str, PpmTree]) -> Column:
+    """Struct of lang_pred and score of a text column. The trees are bounded by the sample that they were fitted on."""
+    sent = SparkSession.active().sparkContext.broadcast(trees)
+
+    def judge():
+        scorer = LanguageScorer(sent.value)
+
+        def one(texts: pa.Array) -> pa.Array:
+            texts = texts.cast(pa.binary())
+            got = [scorer.predict(t.as_py()) for t in texts]
+            return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang_pred", "score"])
+
+        return one
+
+    return by_text(RESULT, judge)(text)
+
+
 def identify(docs: DataFrame, trees: dict[str, PpmTree], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, lang_pred, score (and the columns to keep).
 
     The language of the shortest code for the whole text; of equal ones the first in the
     alphabet. score: its posterior probability with equal priors. ``und`` with score 0 for
     a null text, a text without a letter, or if no language was learned. Repeated rows get
-    equal results. A kept column gives way to a result of the same name.
+    equal results; an empty table gives no rows. A kept column gives way to a result of the same name.
     """
     kept = [c for c in keep if c not in (id_col, "lang_pred", "score")]
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(docs[c].alias(f"k{i}") for i, c in enumerate(kept)))
-    sent = docs.sparkSession.sparkContext.broadcast(trees)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = LanguageScorer(sent.value)
-        for batch in batches:
-            got = [scorer.predict(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[id_col, *kept, "lang_pred", "score"])
-
-    kinds = [source.schema[0].dataType.simpleString(), *(f.dataType.simpleString() for f in source.schema.fields[2:])]
-    return source.mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in zip([id_col, *kept], kinds, strict=True)), "lang_pred string", "score double"]))
+    found = docs.select(docs[id_col].alias("id"), *(docs[c].alias(f"k{i}") for i, c in enumerate(kept)), language(docs[text_col], trees).alias("found"))
+    return found.select(F.col("id").alias(id_col), *(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), "found.lang_pred", "found.score")
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:

@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm._io import materialize, picked
+from factloom.llm._io import materialize, picked, release
+from factloom.llm._text import slices
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
 END_ID = 0
-CACHE_ENTRIES = 1_000_000
+#: Units and ids that a worker keeps, in bytes with what their objects take.
+CACHE_BYTES = 128 << 20
 CACHED_BYTES = 48
 
 
@@ -58,6 +60,7 @@ class TextEncoder:
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[n for word, n in vocabulary.items() if word.endswith("</w>")]] = True
         self._cache: dict[bytes, bytes] = {}
+        self._held = 0
 
     def _runs(self, runs: list[bytes]) -> Iterator[bytes]:
         for at in range(0, len(runs), 4096):
@@ -96,9 +99,10 @@ class TextEncoder:
             parts.append(units)
         need = {u for units in parts for u in units}
         new = need.difference(self._cache)
-        if len(self._cache) + len(new) > CACHE_ENTRIES:
+        if self._held > CACHE_BYTES:
             self._cache.clear()
-            new = need
+            self._held, new = 0, need
+        self._held += sum(map(len, new)) + 190 * len(new)
         runs, plain = list(new & whole), list(new - whole)
         self._cache.update(zip(runs, self._runs(runs), strict=True))
         self._cache.update(zip(plain, self._units(plain), strict=True))
@@ -106,6 +110,7 @@ class TextEncoder:
         for u in new:
             if len(u) > CACHED_BYTES:
                 del self._cache[u]
+                self._held -= len(u) + 190
         return out
 
 
@@ -175,15 +180,10 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
         end = np.array([END_ID], "<u4").tobytes()
         step = capacity * 4
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < 4 << 20):
-                    size += len(texts[hi] or b"")
-                    hi += 1
+            texts = batch.column(1).cast(pa.binary())
+            for lo, hi, *_ in slices(texts):
                 rows: list[list] = [[] for _ in range(7)]
-                for at, ids in zip(range(lo, hi), encode([t or b"" for t in texts[lo:hi]]), strict=True):
+                for at, ids in zip(range(lo, hi), encode([t or b"" for t in texts.slice(lo, hi - lo).to_pylist()]), strict=True):
                     ids += end
                     for k in range(0, len(ids), step):
                         piece = ids[k : k + step]
@@ -195,7 +195,8 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
                     batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()),
                     pa.array(rows[4], pa.int64()), pa.array(rows[5], pa.binary()), pa.array([part] * len(rows[0]), pa.int32()), pa.array(rows[6], pa.int64()),
                 ], names=names)
-                lo = hi
+        del encode
+        release()
 
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, part int, nth bigint")

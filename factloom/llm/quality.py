@@ -20,4 +20,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> subword.Model:
 
 
 def score_quality(docs: DataFrame, model: subword.Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, score, predicted (and the columns to keep).
+
+    A null or empty text gets the share of good ones among the fitted rows, a repeated row
+    equal results; an empty table gives no rows. A kept column gives way to a result of its name.
+    """
     return subword.score(docs, model, threshold, keep=keep)

@@ -13,15 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm._io import crc_mod, materialize, picked
+from factloom.llm._io import by_text, crc_mod, materialize, picked
 from factloom.llm._text import LOWER_TOKENS, RAW_TOKENS, U64, Words, mix, slices
 
 HELD_OUT_FOLDS = 5
 #: Texts of more than this part of a sample's bytes are long.
 LONG_SHARE = 16
+#: Bytes of text that are scored at once.
+SCORED_BYTES = 1 << 20
 #: The bigram of any word and itself.
 _AGAIN = U64(0xA5A5A5A5A5A5A5A5)
 
@@ -200,20 +202,28 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: tup
     return [t for _, t, _ in found], np.array([y for *_, y in found], np.int64)
 
 
+def judged(text: Column, model: Model, threshold: float) -> Column:
+    """Struct of score and predicted of a text column."""
+    sent = SparkSession.active().sparkContext.broadcast(model)  # 1 MB, fixed
+
+    def judge():
+        model = sent.value
+
+        def one(texts: pa.Array) -> pa.Array:
+            got = np.concatenate([model.scores(data, offsets) for _, _, data, offsets in slices(texts, SCORED_BYTES)] or [np.zeros(0)])
+            return pa.StructArray.from_arrays([pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=["score", "predicted"])
+
+        return one
+
+    return by_text("struct<score:double,predicted:int>", judge)(text)
+
+
 def score(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, score of the whole text, predicted (and the columns to keep).
 
     Null and empty texts get the share of label 1 among the fitted rows. Repeated rows get equal
-    scores. A kept column gives way to a result of the same name.
+    scores; an empty table gives no rows. A kept column gives way to a result of the same name.
     """
     kept = [c for c in keep if c not in (id_col, "score", "predicted")]
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(docs[c].alias(f"k{i}") for i, c in enumerate(kept)))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, fixed
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = np.concatenate([sent.value.scores(data, offsets) for _, _, data, offsets in slices(batch.column(1))] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=[id_col, *kept, "score", "predicted"])
-
-    kinds = [source.schema[0].dataType.simpleString(), *(f.dataType.simpleString() for f in source.schema.fields[2:])]
-    return source.mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in zip([id_col, *kept], kinds, strict=True)), "score double", "predicted int"]))
+    found = docs.select(docs[id_col].alias("id"), *(docs[c].alias(f"k{i}") for i, c in enumerate(kept)), judged(docs[text_col], model, threshold).alias("found"))
+    return found.select(F.col("id").alias(id_col), *(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), "found.score", "found.predicted")

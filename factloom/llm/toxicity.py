@@ -7,7 +7,7 @@ scoring. Byte n-grams let misspellings that were never seen share the vectors of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from factloom.llm import subword
 
@@ -26,4 +26,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> subword.Model:
 
 
 def score_toxicity(docs: DataFrame, model: subword.Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, score, predicted (and the columns to keep).
+
+    A null or empty text gets the share of toxic ones among the fitted rows, a repeated row
+    equal results; an empty table gives no rows. A kept column gives way to a result of its name.
+    """
     return subword.score(docs, model, threshold, keep=keep)
+
+
+def toxic(text: Column, model: subword.Model, threshold: float = THRESHOLD) -> Column:
+    """Whether the classifier calls the text toxic; for null and empty ones as for an empty bag."""
+    return subword.judged(text, model, threshold)["predicted"] == 1

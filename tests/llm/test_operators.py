@@ -105,8 +105,7 @@ def brute_hits(text, tests):
 
 
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 40])
-def test_decontamination(spark, odd, empty, block, monkeypatch):
-    monkeypatch.setattr(decontaminate, "CHUNK", 64)
+def test_decontamination(spark, odd, empty, block):
     tests = [(7, "One two three four five six seven eight nine TEN eleven twelve"), (10, "日本語 ½"), (11, "seven eight"), (None, "one"), (12, None), (13, "")]
     bench = spark.createDataFrame(tests, "item_id bigint, text string")
     got = decontaminate.decontaminate(odd, bench, block_bytes=block).collect()
@@ -117,13 +116,21 @@ def test_decontamination(spark, odd, empty, block, monkeypatch):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {2, 3, 4}
 
 
-def test_chunks_keep_words():
-    text = ("ab " * 50 + "c" * 300 + ".é " * 40).encode()
-    old, decontaminate.CHUNK = decontaminate.CHUNK, 17
-    try:
-        assert [w for part in decontaminate.chunks(memoryview(text)) for w in part] == decontaminate.words_of(text)
-    finally:
-        decontaminate.CHUNK = old
+@pytest.mark.parametrize("piece", [decontaminate.PIECE, 7, 40, 300])
+def test_search_equals_brute_force(piece, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    monkeypatch.setattr(decontaminate, "SEGMENT", 5)
+    rng = np.random.default_rng(piece)
+    some = lambda n: " ".join(rng.choice(["a", "b", "cc", "d" * 50, "é"], n, p=[0.4, 0.3, 0.1, 0.1, 0.1]))
+    tests = [(f"i{k}", some(rng.integers(1, 14))) for k in range(30)] + [("i0", some(11)), ("x", "...")]
+    made = [decontaminate.Automata.built([(i, t.encode()) for i, t in part], 10) for part in (tests[:9], tests[9:], [])]
+    texts = [some(n).replace(" ", sep) for n in (0, 1, 5, 90, 300) for sep in (" ", ",\n ")]
+    for run in (texts, *([t] for t in texts)):
+        data = [t.encode() for t in run]
+        n_words, spans, items = decontaminate.find(np.frombuffer(b"".join(data) or b"\0", np.uint8)[: sum(map(len, data))], np.cumsum([0, *map(len, data)]), made, 10)
+        for t, n, s, i in zip(run, n_words, spans, items, strict=True):
+            assert (n, int((s[:, 1] - s[:, 0]).sum()), len(i), hashlib.sha256(",".join(i).encode()).hexdigest()) == brute_hits(t, tests)
+            assert all(a < b for a, b in s) and all(x[1] < y[0] for x, y in zip(s, s[1:], strict=False))
 
 
 def bag(text):
