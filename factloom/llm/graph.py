@@ -42,6 +42,34 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
+#: Parts that the rows of one class are dealt into where they meet the class's row.
+SALTS = 16
+
+
+def with_least(rows: DataFrame, value: str) -> DataFrame:
+    """The rows (class, ...) with class_id, the least value of their class; null if it has none.
+
+    Minima are pre-aggregated. Rows of classes of several meet them in SALTS parts a class, so that no class is one task's.
+    """
+    least = rows.groupBy("class").agg(F.min(value).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "least", F.lit(True).alias("several"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.hash("uid"), F.lit(SALTS)))
+    return salted.join(least, ["class", "salt"], "left").withColumn("class_id", F.when(F.col("several"), F.col("least")).otherwise(F.col(value))).drop("salt", "least", "several")
+
+
+def centred(entry: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Candidate pairs (a < b) of different components, from entries (key, uid): each uid with the one that it shares most keys with among the keys' centres.
+
+    A key's centre is the least uid of its least component. Without labels every uid is a
+    component. One pair a uid at most, so a group whose members share keys pairwise gives as
+    many pairs as it has members; keys whose uids are all in one component give none.
+    """
+    entry = entry.withColumn("label", F.col("uid")) if label is None else entry.join(label.withColumnRenamed("id", "uid"), "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
+    mid = entry.groupBy("key").agg(F.min(F.struct("label", "uid")).alias("m"), F.max("label").alias("most")).where("m.label < most").select("key", "m")
+    met = entry.join(mid, "key").where("label <> m.label").groupBy("uid", F.col("m.uid").alias("end")).agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("uid").agg(F.max(F.struct("n", (-F.col("end")).alias("end"))).alias("x"))
+    return best.select(F.least("uid", -F.col("x.end")).alias("a"), F.greatest("uid", -F.col("x.end")).alias("b")).distinct()
+
+
 def shared(entry: DataFrame) -> DataFrame:
     """The entries (key, uid) whose key several uids have, with two centres of the key's uids, stored.
 

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from factloom.llm._io import materialize, new_path, picked, scratch
+from factloom.llm._io import materialize, new_path, picked, release, scratch
 from factloom.llm._store import mapped, put
 from factloom.llm._text import ALNUM, ALNUM_SPLIT, U64, Words, mix, shingle_hashes, slices
-from factloom.llm.graph import across, components, shared, stars
+from factloom.llm.graph import across, components, shared, stars, with_least
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -143,6 +143,8 @@ def _signed(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), pa.array(node, pa.binary()), pa.array(count, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.list_(pa.int16())),
                 ], names=["uid", "node", "n", "bands", "signature"])
+        del seen
+        release()
 
     return rows.select("uid", "text").mapInArrow(run, "uid bigint, node binary, n bigint, bands array<bigint>, signature array<smallint>")
 
@@ -158,15 +160,13 @@ def _chosen(rows: DataFrame, ids: DataFrame, then: Callable[[Iterator[pa.RecordB
 
     def store(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
         put(f"{folder}/{key[0].as_py()}", np.sort(found.column("uid").to_numpy()))
-        return found.select(["uid"]).slice(0, 0)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64())})
 
-    ids.select("uid").distinct().withColumn("part", F.shiftright("uid", PART_BITS)).groupBy("part").applyInArrow(store, "uid bigint").write.format("noop").mode("overwrite").save()
+    stored = ids.select("uid").distinct().withColumn("part", F.shiftright("uid", PART_BITS)).groupBy("part").applyInArrow(store, "part bigint").collect()  # a number a partition
+    parts = rows.sparkSession.sparkContext.broadcast(frozenset(r["part"] for r in stored))
 
     def wanted(part: int) -> np.ndarray:
-        try:
-            return mapped(f"{folder}/{part}", np.int64)
-        except FileNotFoundError:  # none of this partition
-            return np.zeros(0, np.int64)
+        return mapped(f"{folder}/{part}", np.int64) if part in parts.value else np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, np.ndarray] = (-1, np.zeros(0, np.int64))
@@ -180,6 +180,7 @@ def _chosen(rows: DataFrame, ids: DataFrame, then: Callable[[Iterator[pa.RecordB
                 keep[here] = np.searchsorted(last[1], uid[here], "right") > np.searchsorted(last[1], uid[here])
             if keep.any():
                 yield batch.filter(pa.array(keep))
+        release()
 
     return rows.mapInArrow((lambda batches: then(run(batches))) if then else run, schema or rows.schema)
 
@@ -231,6 +232,7 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         for batch in batches:
             got = [similarity(x, y) for x, y in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], names=["u", "v", "similarity"])
+        release()
 
     return both.mapInArrow(run, "u bigint, v bigint, similarity double").where(F.col("similarity") >= THRESHOLD)
 
@@ -241,7 +243,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(uid, class) for each row of a numbered table with uid and text, and verified links (u, v, similarity) between uids of different texts that connect each class.
+    """(uid, class, vertex) for each row of a numbered table with uid and text, and verified links (u, v, similarity) between vertices that connect each class.
+
+    vertex: the first uid of the row's words; copies share it. Links join different texts.
 
     class is the least uid of the connected component. A row without words (null, empty,
     punctuation only) is a class of its own.
@@ -263,24 +267,27 @@ def near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not more.isEmpty():
         links = links.unionAll(more)
         label = components(links)
-    at = first.join(label.withColumnRenamed("id", "uid"), "uid", "left").select("node", F.coalesce("label", "uid").alias("class"))
-    out = signed.select("uid", "node").join(at, "node", "left").select("uid", F.coalesce("class", "uid").alias("class"))
+    at = first.join(label.withColumnRenamed("id", "uid"), "uid", "left").select("node", F.coalesce("label", "uid").alias("class"), F.col("uid").alias("vertex"))
+    out = signed.select("uid", "node").join(at, "node", "left").select("uid", F.coalesce("class", "uid").alias("class"), F.coalesce("vertex", "uid").alias("vertex"))
     return out, links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, class_id, kept.
+    """One row per row of ``docs``: id, class_id, kept, n_links, similarity.
 
     class_id: the least id of the document's class (null if the class has none); kept: true
-    for one row of each class, the first stored. Texts without words are unlike all others.
-    Rows that repeat an id are separate rows. An empty table gives no rows.
+    for one row of each class, the first stored. n_links: verified links between its text
+    and other texts, of those that connect the class; similarity: the highest of theirs, null
+    without any. Copies share the links of their text. Texts without words are unlike all
+    others. Rows that repeat an id are separate rows. An empty table gives no rows.
     """
     rows = numbered(picked(docs, doc=id_col, text=text_col))
     with scratch(docs.sparkSession, "near-dup"):
-        found = materialize(near_classes(rows)[0], "classes", keep=True)
+        found, links = near_classes(rows)
+        end = links.select(F.explode(F.array("u", "v")).alias("vertex"), "similarity").groupBy("vertex").agg(F.count(F.lit(1)).alias("n_links"), F.max("similarity").alias("similarity"))
+        found = materialize(found.join(end, "vertex", "left").drop("vertex"), "classes", keep=True)
     named = found.join(rows.select("uid", "doc"), "uid")
-    least = named.groupBy("class").agg(F.min("doc").alias("class_id"))
-    return named.join(least, "class").select(F.col("doc").alias(id_col), "class_id", (F.col("uid") == F.col("class")).alias("kept"))
+    return with_least(named, "doc").select(F.col("doc").alias(id_col), "class_id", (F.col("uid") == F.col("class")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "similarity")
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text") -> DataFrame:
