@@ -1,14 +1,17 @@
 """Edited copies of images by local descriptors.
 
-Corners are found on five scales, over a factor of four, and all are kept; each has an orientation (towards its patch's intensity
-centroid) and 256 binary tests of smoothed intensities, turned by that orientation.
-A descriptor goes into twelve tables by 64 of its bits each, chosen at random; descriptors
-in one cell of a table make their images candidates. A pair is a copy if enough of its mutually nearest
-descriptors agree on one similarity transform (turn, scale, shift), so cropped, scaled,
-turned, brightened or noisy copies count.
-
-Equal images are one vertex. An image is compared with two centres of its cells, then with
-images of other components, as in near_dup.
+Corners are found on five scales, over a factor of four, and all are kept; each has an
+orientation (towards its patch's intensity centroid) and 256 binary tests of smoothed
+intensities, turned by that orientation. A descriptor goes into TABLES tables by 64 of its
+bits each, chosen at random; descriptors in one cell of a table make their images
+candidates. A pair is a copy if enough of its mutually nearest descriptors agree on one
+similarity transform (turn, scale, shift), so cropped, scaled, turned, brightened or noisy
+copies count.
+
+Equal images are one vertex. The tables are joined one after another: images of a cell that
+aren't connected yet are compared with the cell's centre, so that a large group of copies is
+one component after the first table. Where cells of any table then still hold several
+components, their images of different components are compared with each other.
 """
 
 from __future__ import annotations
@@ -16,28 +19,32 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm._io import materialize, picked
+from factloom.llm._io import materialize, picked, release, scratch
 from factloom.llm._text import U64, mix
-from factloom.llm.graph import across, components, shared, stars
+from factloom.llm.graph import across, centred, components, with_least
 
 #: Halves and quarters of a scale are scales too, so that copies of half and a quarter of the size have some in common.
 SCALES = (1.0, 0.7, 0.5, 0.35, 0.25)
-TESTS, TABLES = 256, 12
+TESTS, TABLES = 256, 6
 PATCH = 18
 MOST_BITS = 44
+#: Tables that are joined at a time.
+ROUNDS = (slice(0, 1), slice(1, 3), slice(3, None))
 MIN_INLIERS = 6
 TOLERANCE = 0.04
+#: Images are shrunk to this longest side before corners are sought, the default of a parameter.
 MAX_SIDE = 256
 SIDE = 64
 
 _rng = np.random.default_rng(11)
-_PAIRS = np.clip(_rng.normal(0, PATCH / 2.2, (TESTS, 2, 2)), -PATCH, PATCH)
+_PAIRS = np.clip(_rng.normal(0, PATCH / 2.2, (TESTS, 2, 2)), -PATCH, PATCH).astype(np.float32)
 _SUBSETS = np.stack([_rng.choice(TESTS, 64, replace=False) for _ in range(TABLES)])
 _DISC = np.array([(x, y) for x in range(-9, 10) for y in range(-9, 10) if x * x + y * y <= 81])
 
@@ -132,18 +139,31 @@ def _resized(image: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 def _smoothed(image: np.ndarray, times: int = 1) -> np.ndarray:
+    h, w = image.shape
     for _ in range(times):
-        for axis in (0, 1):
-            p = np.pad(image, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], "edge")
-            cut = lambda k, p=p, axis=axis, n=image.shape[axis]: p.take(range(k, k + n), axis)
-            image = (cut(0) + cut(4) + 4 * (cut(1) + cut(3)) + 6 * cut(2)) / 16
+        p = np.empty((h + 4, w), image.dtype)
+        p[2:-2], p[:2], p[-2:] = image, image[0], image[-1]
+        image = (p[:h] + p[4:] + 4 * (p[1 : h + 1] + p[3 : h + 3]) + 6 * p[2 : h + 2]) / 16
+        p = np.empty((h, w + 4), image.dtype)
+        p[:, 2:-2], p[:, :2], p[:, -2:] = image, image[:, :1], image[:, -1:]
+        image = (p[:, :w] + p[:, 4:] + 4 * (p[:, 1 : w + 1] + p[:, 3 : w + 3]) + 6 * p[:, 2 : w + 2]) / 16
     return image
 
 
-def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _highest(values: np.ndarray, reach: int) -> np.ndarray:
+    """The highest value within reach, along both axes."""
+    for _ in range(2):
+        n = len(values)
+        p = np.full((n + 2 * reach, values.shape[1]), -np.inf, values.dtype)
+        p[reach:-reach] = values
+        values = np.maximum.reduce([p[k : k + n] for k in range(2 * reach + 1)]).T
+    return values
+
+
+def describe(image: np.ndarray, max_side: int = MAX_SIDE) -> tuple[np.ndarray, np.ndarray]:
     """(x, y, scale, angle) and the 256 bits (as four 64-bit words) of all corners on all scales."""
     h, w = image.shape
-    shrink = min(1.0, MAX_SIDE / max(h, w))
+    shrink = min(1.0, max_side / max(h, w))
     places, words = [], []
     for scale in SCALES:
         s = scale * shrink
@@ -154,18 +174,15 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         gy, gx = np.gradient(small)
         a, b, c = (_smoothed(x, 2) for x in (gx * gx, gy * gy, gx * gy))
         strength = a * b - c * c - 0.05 * (a + b) ** 2
-        around = strength
-        for axis in (0, 1):
-            padded = np.pad(around, [(3, 3) if a == axis else (0, 0) for a in (0, 1)], constant_values=-np.inf)
-            around = np.maximum.reduce([padded.take(range(k, k + around.shape[axis]), axis) for k in range(7)])
-        ys, xs = np.nonzero((strength >= around) & (strength > 1.0))
+        ys, xs = np.nonzero((strength >= _highest(strength, 3)) & (strength > 1.0))
         if not len(ys):
             continue
         smooth = _smoothed(small, 2)
-        at = lambda px, py, hh=hh, ww=ww, smooth=smooth: smooth[np.clip(np.rint(py).astype(int), 0, hh - 1), np.clip(np.rint(px).astype(int), 0, ww - 1)]
+        near = lambda p, n: np.minimum(np.maximum(np.rint(p).astype(np.int32), 0), n - 1)
+        at = lambda px, py, hh=hh, ww=ww, smooth=smooth.ravel(): smooth[near(py, hh) * ww + near(px, ww)]
         disc = at(xs[:, None] + _DISC[:, 0], ys[:, None] + _DISC[:, 1])
         angle = np.arctan2(disc @ _DISC[:, 1], disc @ _DISC[:, 0])
-        cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+        cos, sin = np.cos(angle).astype(np.float32)[:, None, None], np.sin(angle).astype(np.float32)[:, None, None]
         px, py = _PAIRS[None, :, :, 0], _PAIRS[None, :, :, 1]
         values = at(xs[:, None, None] + cos * px - sin * py, ys[:, None, None] + sin * px + cos * py)
         places.append(np.column_stack([(xs + 0.5) / s, (ys + 0.5) / s, np.full(len(xs), 1 / s), angle]))
@@ -175,11 +192,12 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(words)
 
 
-def cells(words: np.ndarray) -> np.ndarray:
-    """The distinct table cells of an image's descriptors, as hashes."""
+def cells(words: np.ndarray, tables: slice = slice(None)) -> np.ndarray:
+    """The distinct cells of an image's descriptors in some of the tables, as hashes."""
+    which = np.arange(TABLES)[tables]
     bits = np.unpackbits(words.view(np.uint8).reshape(-1, TESTS // 8), axis=1)
-    part = np.packbits(bits[:, _SUBSETS], 2).view("<u8")[..., 0]
-    return np.unique(mix(part + np.arange(TABLES, dtype=U64) * U64(0x9E3779B97F4A7C15))).view(np.int64)
+    part = np.ascontiguousarray(np.packbits(bits[:, _SUBSETS[which]], 2)).view("<u8")[..., 0]
+    return np.unique(mix(part + which.astype(U64) * U64(0x9E3779B97F4A7C15))).view(np.int64)
 
 
 def inliers(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray) -> int:
@@ -235,56 +253,92 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return source.mapInArrow(run, f"`{id_col}` {kind}, image binary")
 
 
-def edited_copies(images: DataFrame, id_col: str = "vec_id", image_col: str = "image") -> DataFrame:
-    """One row per row of ``images``: id, class_id, kept.
+def edited_copies(images: DataFrame, id_col: str = "vec_id", image_col: str = "image", max_side: int = MAX_SIDE) -> DataFrame:
+    """One row per row of ``images``: id, class_id, kept, n_links.
 
     class_id: the least id of the row's class of copies (null if the class has none); kept:
-    true for one row of each class. Images
+    true for one row of each class, the first stored. n_links: verified links between its
+    image and other images, of those that connect the class; equal images share them. Images
     that can't be decoded, null ones and ones without corners are alike only if their bytes
-    are; null ones are alike to none. Rows that repeat an id are separate rows.
+    are; null ones are alike to none. Rows that repeat an id are separate rows. An empty
+    table gives no rows. Other columns are not read. Images are shrunk to ``max_side``, so
+    that details which vanish there tell nothing apart; no corner, cell or candidate is left out.
     """
-    rows = materialize(picked(images, id=id_col, image=image_col).select("id", F.sha2("image", 256).alias("node"), F.monotonically_increasing_id().alias("uid"), "image"), "images")
-    first = rows.where("node is not null").groupBy("node").agg(F.min("uid").alias("uid"))
+    source = picked(images, id=id_col, image=image_col).select(F.monotonically_increasing_id().alias("uid"), "id", F.sha2("image", 256).alias("node"), "image")
+    kind = source.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for batch in batches:
-            uid, place, words, keys = [], [], [], []
-            for u, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                image = decode(data)
-                if image is not None:
-                    p, d = describe(image)
-                    if len(p):
-                        uid.append(u)
-                        place.append(p.ravel())
-                        words.append(d.ravel())
-                        keys.append(cells(d))
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(place, pa.list_(pa.float64())), pa.array(words, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["uid", "places", "words", "keys"])
-
-    vertex = materialize(rows.join(first.select("uid"), "uid", "left_semi").select("uid", "image").mapInArrow(run, "uid bigint, places array<double>, words array<bigint>, keys array<bigint>"), "descriptors")
-    entry = shared(vertex.select("uid", F.explode("keys").alias("key")))
-    full = vertex.drop("keys")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(full.toDF("a", "pa", "wa"), "a").join(full.toDF("b", "pb", "wb"), "b").select("a", "b", "pa", "wa", "pb", "wb")
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                got = []
-                for x in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
-                    p, d, q, e = (np.array(v, kind).reshape(-1, 4) for v, kind in zip(x, (float, np.int64, float, np.int64), strict=True))
-                    got.append(inliers(p, d, q, e))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.int64())], names=["u", "v", "inliers"])
-
-        return both.mapInArrow(check, "u bigint, v bigint, inliers bigint").where(F.col("inliers") >= MIN_INLIERS)
-
-    star = materialize(stars(entry), "stars")
-    links = materialize(verify(star), "links")
-    label = components(links)
-    more = materialize(verify(materialize(across(entry, label).join(star, ["a", "b"], "left_anti"), "cross")), "links")
-    if not more.isEmpty():
-        links = links.unionAll(more)
-        label = components(links)
-    at = first.join(label.withColumnRenamed("id", "uid"), "uid", "left").select("node", F.coalesce("label", "uid").alias("class"))
-    named = rows.select("id", "uid", "node").join(at, "node", "left").select("id", "uid", F.coalesce("class", "uid").alias("class"))
-    least = named.groupBy("class").agg(F.min("id").alias("class_id"))
-    return named.join(least, "class").select(F.col("id").alias(id_col), "class_id", (F.col("uid") == F.col("class")).alias("kept"))
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                places, words = [], []
+                for node, data in zip(part.column(2).to_pylist(), part.column(3), strict=True):
+                    image = None if node is None or node in seen else decode(data.as_py())
+                    if image is None:
+                        places.append(None)
+                        words.append(None)
+                        continue
+                    seen.add(node)
+                    p, d = describe(image, max_side)
+                    places.append(p.astype(np.float32).ravel())
+                    words.append(d.ravel())
+                if len(seen) > 100_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(places, pa.list_(pa.float32())), pa.array(words, pa.list_(pa.int64()))], names=["uid", "id", "node", "places", "words"])
+        del seen
+        release()
+
+    spark = images.sparkSession
+    with scratch(spark, "images"):
+        rows = materialize(source.mapInArrow(described, f"uid bigint, id {kind}, node string, places array<float>, words array<bigint>"), "descriptors")
+        first = rows.where("node is not null").groupBy("node").agg(F.min("uid").alias("uid"), F.min(F.when(F.size("words") > 0, F.col("uid"))).alias("made"))
+        full = rows.where("size(words) > 0").select("uid", "places", "words")
+        # Of a task's copies only the first has descriptors; those of several tasks are linked as they are equal.
+        equal = rows.where("size(words) > 0").select("uid", "node").join(first.select("node", "made"), "node").where("uid > made").select(F.col("made").alias("u"), F.col("uid").alias("v"), F.lit(None).cast("bigint").alias("inliers"))
+
+        def entries(tables: slice) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for lo in range(0, len(batch), 512):
+                        found = [(u, cells(np.array(w, np.int64), tables)) for u, w in zip(*(c.to_pylist() for c in batch.slice(lo, 512).columns), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k in found])), pa.array(np.repeat([u for u, _ in found], [len(k) for _, k in found]).astype(np.int64))], names=["key", "uid"])
+                release()
+
+            return full.select("uid", "words").mapInArrow(run, "key bigint, uid bigint")
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(full.toDF("a", "pa", "wa"), "a").join(full.toDF("b", "pb", "wb"), "b").select("a", "b", "pa", "wa", "pb", "wb")
+
+            def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for lo in range(0, len(batch), 256):
+                        part, got = batch.slice(lo, 256), []
+                        for x in zip(*(part.column(c) for c in range(2, 6)), strict=True):
+                            p, d, q, e = (np.asarray(v.values).reshape(-1, 4) for v in x)
+                            got.append(inliers(p.astype(float), d, q.astype(float), e))
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.int64())], names=["u", "v", "inliers"])
+                release()
+
+            return both.mapInArrow(check, "u bigint, v bigint, inliers bigint").where(F.col("inliers") >= MIN_INLIERS)
+
+        links = materialize(equal, "links")
+        label, tried = components(links), None
+        for tables in ROUNDS:
+            pairs = centred(entries(tables), label)
+            pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            tried = pairs if tried is None else tried.unionAll(pairs)
+            found = materialize(verify(pairs), "links")
+            if not found.isEmpty():
+                links = links.unionAll(found)
+                label = components(links)
+        rest = [materialize(across(entries(tables), label).join(tried, ["a", "b"], "left_anti"), "cross") for tables in ROUNDS]
+        more = materialize(verify(reduce(DataFrame.unionAll, rest).distinct()), "links")
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            label = components(links)
+        links = links.where("inliers is not null")
+        end = links.select(F.explode(F.array("u", "v")).alias("made")).groupBy("made").agg(F.count(F.lit(1)).alias("n_links"))
+        at = first.join(label.toDF("made", "label"), "made", "left").join(end, "made", "left").select("node", F.coalesce("label", "uid").alias("class"), "n_links")
+        named = materialize(rows.select("id", "uid", "node").join(at, "node", "left").select("id", "uid", F.coalesce("class", "uid").alias("class"), "n_links"), "classes", keep=True)
+    return with_least(named, "id").select(F.col("id").alias(id_col), "class_id", (F.col("uid") == F.col("class")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
