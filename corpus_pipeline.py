@@ -18,29 +18,53 @@ LEAST_POSTERIOR = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a letter, and those whose best language is less likely than LEAST_POSTERIOR, go. ``lang`` stays as it was given."""
+    """Rows without a letter, and those whose best language is less likely than LEAST_POSTERIOR, go.
+
+    ``lang`` stays as it was given. Null and empty texts have no letter and go; of repeated
+    rows all stay or go. An empty table, or one without languages to learn, gives no rows.
+    Columns other than COLUMNS go.
+    """
+    docs = docs.select(*COLUMNS)
     trees = langid.fit(langid.training_rows(docs))
-    found = langid.identify(docs, trees, keep=COLUMNS)
-    return found.where(f"lang_pred <> 'und' and score >= {LEAST_POSTERIOR}").select(*COLUMNS)
+    found = langid.language(docs["text"], trees)
+    return docs.where((found["lang_pred"] != "und") & (found["score"] >= LEAST_POSTERIOR))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier calls toxic go."""
+    """Rows that the classifier calls toxic go; without toxic labels in the sample none does.
+
+    Null and empty texts are judged by the share of toxic labels, and so mostly stay; of
+    repeated rows all stay or go. An empty table gives no rows. Columns other than COLUMNS go.
+    """
+    docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
+    return docs.where(~toxicity.toxic(docs["text"], model))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near-duplicates stays."""
+    """One row of each class of near-duplicates stays, the first stored.
+
+    Rows without words (null, empty, punctuation only) are unlike all others and stay. An
+    empty table gives no rows. Columns other than COLUMNS go.
+    """
     return near_dup.deduplicate(docs.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a test string of the benchmark go."""
+    """Rows with a test string of the benchmark go.
+
+    Null and empty texts stay; of repeated rows all stay or go. An empty table gives no
+    rows, an empty benchmark drops none. Columns other than COLUMNS go.
+    """
     return decontaminate.uncontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document: its sequence and its place there (see packing.pack).
+
+    A null or empty text is one piece of the end id alone, repeated rows are packed each by
+    itself, an empty table gives no rows. Other columns aren't read.
+    """
     return packing.pack(docs)
 
 
