@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.numbers import let, lookup
+from factloom.functions.numbers import has, let, lookup
 from factloom.functions.periods import period
 
 # Labels and the words that stand for them.
@@ -34,8 +34,13 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčď
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyaaaccddeeegilnnooorsstuuuzzz"
 
 
-def _labels(text: Column, table: dict[str, str]) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike(f"(?iU){pattern}"), label) for label, pattern in table.items())))
+#: A part that a text with the label's words has, where it isn't the label itself.
+STEMS = {"standalone": ("stand",), "consolidated": ("consolidated", "group"), "company": ("wide",), "actual": ("actual", "reali"), "forecast": ("forecast", "project"), "adjusted": ("adjusted", "gaap"), "reported": ("reported", "gaap"), "India": ("india", "domestic"), "global": ("global", "worldwide")}
+
+
+def _labels(low: Column, table: dict[str, str]) -> Column:
+    """The labels whose words a lower-case text has; a cheap look for their stems comes before the pattern."""
+    return F.array_compact(F.array(*(F.when(has(low, *STEMS.get(label, (label,))) & low.rlike(f"(?U){pattern}"), label) for label, pattern in table.items())))
 
 
 def context(text: Column, publisher: Column | None = None, when: Column | None = None) -> Column:
@@ -44,7 +49,7 @@ def context(text: Column, publisher: Column | None = None, when: Column | None =
     when: the text's period, where it is a column already; plans stay smaller that way.
     """
     names = {"scopes": SCOPES, "places": GEOGRAPHIES} | BASES
-    found = F.struct(text.alias("text"), (publisher if publisher is not None else F.lit(None)).cast("string").alias("publisher"), (period(text) if when is None else when).alias("when"), *(_labels(text, table).alias(k) for k, table in names.items()))
+    found = F.struct(text.alias("text"), (publisher if publisher is not None else F.lit(None)).cast("string").alias("publisher"), (period(text) if when is None else when).alias("when"), *(_labels(F.lower(text), table).alias(k) for k, table in names.items()))
     return let(found, _context)
 
 
@@ -74,10 +79,18 @@ def ascii_text(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
 
 
+# What a unit note holds, in brackets or after "in".
+NOTE = r"\((?:in\s+)?(?:rs\.?|inr|usd|\$)?\s*(?:thousand|lakh|lac|million|mn|crore|cr|billion|bn)s?\)"
+NOTED_IN = r"\b(?:amounts? )?in\s+(?:inr|usd|rs\.?)?\s*(?:million|crore|billion|lakh)s?\b"
+
+
 def measure_key(label: Column) -> Column:
     """The key of a measure's label: snake case, without a unit note, synonyms joined."""
-    k = F.regexp_replace(F.lower(label), r"(?iU)\s*\((?:[^)]*(?:₹|rs\.?|inr|usd|\$|million|crore|lakh|billion|thousand)[^)]*)\)|\s+in\s+(?:₹|rs\.?|inr|usd)?\s*(?:million|crore|lakh|billion|thousand)s?\b", "")
-    k = ascii_text(F.replace(F.replace(k, F.lit("&"), F.lit(" and ")), F.lit("%"), F.lit(" percentage ")))
-    k = F.btrim(F.regexp_replace(F.regexp_replace(k, r"['’]", ""), r"[^a-z0-9]+", "_"), F.lit("_"))
-    k = F.when(k.rlike("^[0-9]"), F.concat(F.lit("measure_"), k)).otherwise(k)
-    return F.coalesce(lookup(SYNONYMS, k), k)
+    plain = F.replace(F.replace(ascii_text(label), F.lit("&"), F.lit(" and ")), F.lit("%"), F.lit(" percentage "))
+    bare = F.regexp_replace(F.regexp_replace(plain, NOTE, " "), NOTED_IN, " ")
+
+    def keyed(k: Column) -> Column:
+        k = F.when(k == "", "unnamed_measure").when(k.rlike("^[a-z]"), k).otherwise(F.concat(F.lit("measure_"), k))
+        return let(k, lambda x: F.coalesce(lookup(SYNONYMS, x), x))
+
+    return let(F.btrim(F.regexp_replace(bare, r"[^a-z0-9]+", "_"), F.lit("_")), keyed)

@@ -7,6 +7,9 @@ because a tolerance follows from what was displayed, which a decimal type forget
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,40 +41,81 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Columns made so far, by session's JVM, maker and column names.
+_made: dict[tuple, Column] = {}
+
+
+def reused(make: Callable[..., Column], *names: str) -> Column:
+    """make(columns of these names), built once a process: the large expressions here take seconds of calls to the JVM, and are the same for every table."""
+    key = (id(SparkContext._active_spark_context), make.__module__, make.__qualname__, names)
+    if key not in _made:
+        _made[key] = make(*map(F.col, names))
+    return _made[key]
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def words_array(words: Iterable[str]) -> Column:
+    """A literal array, made in one call."""
+    return F.expr(f"array({', '.join(map(_quoted, words))})")
+
+
 def lookup(table: dict, key: Column, kind: str = "string") -> Column:
     """The value that a literal table has for a key, else null."""
-    pairs = [x for k, v in table.items() for x in (F.lit(k), F.lit(v).cast(kind))]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"{_quoted(k)}, CAST({_quoted(v) if isinstance(v, str) else v} AS {kind})" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
-def _words(table: dict) -> str:
-    return "|".join(sorted((w.replace(".", r"\.").replace("$", r"\$") for w in table), key=lambda w: (-len(w), w)))
+#: Joins the words of a unit of two words while texts are cut into words.
+_JOINED = "\x01"
 
 
-def _nonempty(c: Column) -> Column:
-    return F.when(c != "", c)
+def words_of(low: Column) -> Column:
+    """Runs of a-z of a lower-case text, in order; a metric ton is one word."""
+    return F.regexp_extract_all(F.when(F.contains(low, F.lit("metric")), F.regexp_replace(low, r"metric\s+ton", f"metric{_JOINED}ton")).otherwise(low), F.lit(f"([a-z{_JOINED}]+)"), 1)
+
+
+def _first_of(table: dict, words: Column) -> Column:
+    """The first of the words that is one of the table's keys, else null."""
+    return F.get(F.array_intersect(words, words_array(k.replace(" ", _JOINED) for k in table)), F.lit(0))
+
+
+def has(low: Column, *parts: str) -> Column:
+    """A lower-case text contains one of the parts: cheap, and so asked before a pattern that needs one of them."""
+    found = F.contains(low, F.lit(parts[0]))
+    for p in parts[1:]:
+        found = found | F.contains(low, F.lit(p))
+    return found
+
+
+def _currency(low: Column, words: Column) -> Column:
+    mark = F.when(has(low, "₹", "$", "€", "£"), lookup(CURRENCIES, F.regexp_extract(low, r"(us\$|₹|\$|€|£)", 1)))
+    return F.coalesce(mark, lookup(CURRENCIES, _first_of({k: v for k, v in CURRENCIES.items() if k.isalpha() and k.isascii()}, words)))
 
 
 def currency_of(text: Column) -> Column:
-    low = F.lower(text)
-    mark = F.regexp_extract(low, r"(us\$|₹|\$|€|£)", 1)
-    word = F.regexp_extract(low, r"(?U)(?<![a-z])(inr|rs\.?|usd|eur|gbp)(?![a-z])", 1)
-    return F.coalesce(lookup(CURRENCIES, mark), lookup(CURRENCIES, word))
+    return _currency(F.lower(text), words_of(F.lower(text)))
 
 
 def scale_of(text: Column) -> Column:
     """The scale word, null if there is none."""
-    return _nonempty(F.regexp_extract(F.lower(text), rf"(?U)(?<![a-z])({_words(SCALES)})(?![a-z])", 1))
+    return _first_of(SCALES, words_of(F.lower(text)))
 
 
 def unit_of(text: Column) -> Column:
-    return _nonempty(F.regexp_extract(F.regexp_replace(F.lower(text), r"\s+", " "), rf"(?U)(?<![a-z])({_words(UNITS)})(?![a-z])", 1))
+    return F.replace(_first_of(UNITS, words_of(F.lower(text))), F.lit(_JOINED), F.lit(" "))
 
 
 def _plain(text: Column) -> Column:
     return F.regexp_replace(text, ",", "").try_cast("decimal(24,8)")
 
 
+def _before(text: Column, part: Column) -> Column:
+    return F.substr(text, F.lit(1), F.position(part, text) - 1)
+
+
 def _after(text: Column, part: Column) -> Column:
     return F.substr(text, F.position(part, text) + F.length(part))
 
@@ -102,10 +146,10 @@ def _number(given: Column) -> Column:
     raw, found = given["raw"], given["found"]
     many = F.coalesce(F.size(found), F.lit(0))
     return (
-        F.when(raw.rlike(RATIO), let(F.struct(*(_plain(F.regexp_extract(raw, RATIO, k)).alias(n) for k, n in ((1, "a"), (2, "b")))), _quotient))
+        F.when(F.contains(raw, F.lit(":")) & raw.rlike(RATIO), let(F.struct(*(_plain(F.regexp_extract(raw, RATIO, k)).alias(n) for k, n in ((1, "a"), (2, "b")))), _quotient))
         .when(many <= 0, _failed("missing_number"))
         .when(many > 1, _failed("ambiguous_number"))
-        .otherwise(let(F.struct(raw.alias("raw"), F.lower(raw).alias("low"), F.get(found, F.lit(0)).alias("digits")), _single))
+        .otherwise(let(F.struct(raw.alias("raw"), F.lower(raw).alias("low"), F.get(found, F.lit(0)).alias("digits"), words_of(F.lower(_before(raw, F.get(found, F.lit(0))))).alias("ahead"), words_of(F.lower(_after(raw, F.get(found, F.lit(0))))).alias("behind")), _single))
     )
 
 
@@ -115,11 +159,11 @@ def _quotient(x: Column) -> Column:
 
 
 def _single(x: Column) -> Column:
-    raw, low, digits = x["raw"], x["low"], x["digits"]
+    raw, low, digits, words = x["raw"], x["low"], x["digits"], F.concat(x["ahead"], x["behind"])
     value = _plain(digits)
     parts = F.struct(
-        F.when(raw.startswith("(") & raw.endswith(")"), -F.abs(value)).otherwise(value).alias("value"), currency_of(raw).alias("currency"), scale_of(raw).alias("word"), unit_of(_after(raw, digits)).alias("unit"),
-        raw.rlike(PERCENT).alias("percent"), raw.rlike(BASIS_POINT).alias("bps"), low.rlike(TIMES).alias("times"), F.btrim(_after(low, digits), F.lit(" .,)\n\t")).alias("suffix"),
+        F.when(raw.startswith("(") & raw.endswith(")"), -F.abs(value)).otherwise(value).alias("value"), _currency(low, words).alias("currency"), _first_of(SCALES, words).alias("word"), F.replace(_first_of(UNITS, x["behind"]), F.lit(_JOINED), F.lit(" ")).alias("unit"),
+        (has(low, "%", "per", "pct") & raw.rlike(PERCENT)).alias("percent"), (has(low, "bp", "basis") & raw.rlike(BASIS_POINT)).alias("bps"), (has(low, "x") & low.rlike(TIMES)).alias("times"), F.btrim(_after(low, digits), F.lit(" .,)\n\t")).alias("suffix"),
     )
 
     def named(p: Column) -> Column:
@@ -132,7 +176,7 @@ def _single(x: Column) -> Column:
         reported_unit = F.when(p["percent"], "%").when(p["bps"], "basis point").when(p["times"], "x").when(unknown, p["suffix"]).otherwise(F.coalesce(p["unit"], F.when(p["currency"].isNotNull(), p["word"])))
         return F.when(p["value"].isNull(), _failed("invalid_number")).otherwise(_value(
             number=p["value"] * y["scale"], reported=p["value"], dp=_dp(digits), scale=y["scale"], unit=y["unit"], reported_unit=reported_unit, currency=p["currency"],
-            approximate=low.rlike(r"(?U)\babout\b|\bapprox(?:imately)?\.?(?![a-z])|~|≈"), warning=F.when(unknown, "unknown_unit"), confidence=F.when(unknown, 0.72).otherwise(0.99),
+            approximate=has(low, "about", "approx", "~", "≈") & low.rlike(r"(?U)\babout\b|\bapprox(?:imately)?\.?(?![a-z])|~|≈"), warning=F.when(unknown, "unknown_unit"), confidence=F.when(unknown, 0.72).otherwise(0.99),
         ))
 
     return let(parts, named)

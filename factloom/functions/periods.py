@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.numbers import let
+from factloom.functions.numbers import has, let
 
 MONTH = r"(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept|sep|oct|nov|dec)"
 DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
@@ -62,19 +62,27 @@ def period(text: Column) -> Column:
     The first form that the text holds decides; if its date isn't in the calendar the whole
     text is invalid_period, whatever else it holds. Without any form: unknown_period.
     """
-    return let(text, _period)
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), _period)
 
 
-def _period(t: Column) -> Column:
+def quarter_of(text: Column) -> Column:
+    return F.regexp_extract(text, r"(?iU)\bQ([1-4])\b", 1).try_cast("int")
+
+
+def _period(x: Column) -> Column:
+    t, low = x["text"], x["low"]
+    as_of_cue, month_cue = low.rlike(r"\bas\s+(?:of|at)\b"), low.rlike("jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec")
     as_mdy, a1 = _found(t, rf"(?iU)\bas\s+(?:of|at)\s+({MONTH})\s+{DAY},?\s+(\d{{4}})\b")
     as_iso, a2 = _found(t, r"(?iU)\bas\s+(?:of|at)\s+(\d{4}-\d{2}-\d{2})\b")
     as_dmy, a3 = _found(t, rf"(?iU)\bas\s+(?:of|at)\s+{DAY}\s+({MONTH}),?\s+(\d{{4}})\b")
-    fy, f = _found(t, r"(?iU)\b(?:FY|fiscal\s+year|fiscal)\s*[-’']?\s*(\d{4}|\d{2})(?:\s*[-–/]\s*(\d{4}|\d{2}))?\b")
+    fy, f = _found(t, r"(?iU)\b(?:fy|fiscal\s+year)\s*['’]?(\d{4}|\d{2})(?:\s*[-–/]\s*(\d{4}|\d{2}))?\b")
+    fy = has(low, "fy", "fiscal") & fy
     second = F.when(f(2) != "", f(2))
     first = year4(f(1))
-    end_year = F.when(second.isNotNull(), first + 1).otherwise(first)
-    fy_label = lambda y: F.format_string("FY %04d-%02d", y - 1, F.pmod(y, F.lit(100)))
-    quarter = F.regexp_extract(t, r"(?iU)\bQ\s*([1-4])\b", 1).try_cast("int")
+    end_year = F.coalesce(year4(second), first)
+    start_year = F.when(second.isNotNull() & (F.length(f(1)) == 4), first).otherwise(end_year - 1)
+    years = F.struct(start_year.alias("a"), end_year.alias("b"), quarter_of(t).alias("q"))
+    label = lambda a, b: F.format_string("FY %04d-%02d", a, F.pmod(b, F.lit(100)))
     pair, p = _found(t, r"(?iU)\b(20\d{2})\s*[-–/]\s*(\d{2})\b")
     cue = t.rlike(r"(?iU)\b(?:fiscal|financial|growth|projected|estimate|estimated|outlook|budget)\b")
     pair_start = p(1).try_cast("int")
@@ -88,18 +96,18 @@ def _period(t: Column) -> Column:
     only, y = _found(F.trim(t), r"^(\d{4})$")
     last = lambda start, months: F.date_sub(F.add_months(start, months), 1)
     as_of = lambda d: _result("point_in_time", None, None, None, 0.99, as_of=d)
+    fiscal = lambda y: F.when(y["q"].isNotNull(), let(F.struct(F.add_months(_date(y["a"], 4, 1), (y["q"] - 1) * 3).alias("s"), F.concat(F.lit("Q"), y["q"].cast("string"), F.lit(" "), label(y["a"], y["b"])).alias("n")), lambda z: _result("quarter", z["n"], z["s"], last(z["s"], 3), 0.99))).otherwise(_result("fiscal_year", label(y["a"], y["b"]), _date(y["a"], 4, 1), _date(y["b"], 3, 31), 0.99))
     unknown = F.struct(*(F.lit(None).cast(k).alias(n) for n, k in (("label", "string"), ("start", "date"), ("end", "date"), ("as_of", "date"), ("kind", "string"))), F.lit("unknown_period").alias("warning"), F.lit(0.0).alias("confidence"))
     return (
-        F.when(as_mdy, as_of(_day(a1(1), a1(2), a1(3))))
-        .when(as_iso, as_of(F.try_to_date(a2(1))))
-        .when(as_dmy, as_of(_day(a3(2), a3(1), a3(3))))
-        .when(fy & quarter.isNotNull(), let(F.struct(end_year.alias("y"), F.add_months(_date(end_year - 1, 4, 1), (quarter - 1) * 3).alias("s"), quarter.alias("q")), lambda x: _result("quarter", F.concat(F.lit("Q"), x["q"].cast("string"), F.lit(" "), fy_label(x["y"])), x["s"], last(x["s"], 3), 0.98)))
-        .when(fy, let(end_year, lambda y: _result("fiscal_year", fy_label(y), _date(y - 1, 4, 1), last(_date(y - 1, 4, 1), 12), 0.98)))
-        .when(pair & cue & (F.pmod(pair_start + 1, F.lit(100)) == p(2).try_cast("int")), _result("fiscal_year", F.format_string("FY %04d-%02d", pair_start, F.pmod(pair_start + 1, F.lit(100))), _date(pair_start, 4, 1), last(_date(pair_start, 4, 1), 12), 0.94))
-        .when(ended, _result("date_range", F.concat(F.lit("year ended "), ended_on.cast("string")), F.date_add(F.add_months(ended_on, -12), 1), ended_on, 0.98))
-        .when(span, _result("date_range", F.concat(_day(s(1), s(2), s(3)).cast("string"), F.lit(" to "), _day(s(4), s(5), s(6)).cast("string")), _day(s(1), s(2), s(3)), _day(s(4), s(5), s(6)), 0.99))
-        .when(my & t.rlike(r"(?iU)\bended\b"), _result("month", F.date_format(m_start, "MMMM yyyy"), m_start, F.last_day(m_start), 0.96))
-        .when(cq, _result("quarter", F.concat(F.lit("Q"), c(1), F.lit(" "), c(2)), cq_start, last(cq_start, 3), 0.98))
+        F.when(as_of_cue & as_mdy, as_of(_day(a1(1), a1(2), a1(3))))
+        .when(as_of_cue & as_iso, as_of(F.try_to_date(a2(1))))
+        .when(as_of_cue & as_dmy, as_of(_day(a3(2), a3(1), a3(3))))
+        .when(fy, let(years, fiscal))
+        .when(cue & pair, let(F.struct(pair_start.alias("a"), (p(2).try_cast("int") + 2000).alias("b")), lambda y: _result("fiscal_year", label(y["a"], y["b"]), _date(y["a"], 4, 1), _date(y["b"], 3, 31), 0.94)))
+        .when(month_cue & has(low, "ended") & ended, _result("date_range", F.concat(F.lit("year ended "), ended_on.cast("string")), F.date_add(F.add_months(ended_on, -12), 1), ended_on, 0.98))
+        .when(month_cue & span, _result("date_range", F.concat(_day(s(1), s(2), s(3)).cast("string"), F.lit(" to "), _day(s(4), s(5), s(6)).cast("string")), _day(s(1), s(2), s(3)), _day(s(4), s(5), s(6)), 0.99))
+        .when(month_cue & has(low, "ended") & my & t.rlike(r"(?iU)\bended\b"), _result("month", F.date_format(m_start, "MMMM yyyy"), m_start, F.last_day(m_start), 0.96))
+        .when(has(low, "q") & cq, _result("quarter", F.concat(F.lit("Q"), c(1), F.lit(" "), c(2)), cq_start, last(cq_start, 3), 0.98))
         .when(only, _result("calendar_year", y(1), _date(y(1), 1, 1), _date(y(1), 12, 31), 0.78, warning="year_assumed_calendar"))
         .otherwise(unknown)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.functions.context import measure_key
 from factloom.functions.names import short_hash
 from factloom.functions.numbers import tolerance
 
@@ -54,7 +55,7 @@ def discover_growth(facts: DataFrame) -> DataFrame:
     """Growth checks that a set of facts allows: a percentage of a measure's change, the measure in its period and in the period before."""
     side = lambda df, name: df.select("subject_id", F.col("base"), F.struct(*facts.columns).alias(name))
     numeric = facts.where("value.kind = 'number'")
-    stated = numeric.where(F.col("predicate_key").rlike(GROWTH) & (F.col("value.unit") == "percent") & F.col("context.period").isNotNull()).withColumn("base", F.regexp_replace("predicate_key", GROWTH, ""))
+    stated = numeric.where(F.col("predicate_key").rlike(GROWTH) & (F.col("value.unit") == "percent") & F.col("context.period").isNotNull()).withColumn("base", measure_key(F.replace(F.regexp_replace("predicate_key", GROWTH, ""), F.lit("_"), F.lit(" ")))).where(F.regexp_replace("predicate_key", GROWTH, "") != "")
     plain = numeric.where("value.unit is null or value.unit <> 'percent'").withColumn("base", F.col("predicate_key"))
     keys = ["subject_id", "base"]
     scope = lambda x, y: x.isNull() | y.isNull() | (x == y)
@@ -75,12 +76,12 @@ def discover_growth(facts: DataFrame) -> DataFrame:
 def totals(cells: DataFrame, complete: bool = False) -> DataFrame:
     """Component totals of grids (subject_id, document_id, page_index, table_index, column_index, row_index, predicate_key, value).
 
-    A section ends with each row whose key ends in total; components have the total's unit and
+    A section ends with each row whose key begins with total; components have the total's unit and
     currency and aren't percentages; two at least. As a grid never proves that all components
     are there, the decision is needs_review unless ``complete``.
     """
     keys = ["subject_id", "document_id", "page_index", "table_index", "column_index"]
-    is_total = F.col("predicate_key").rlike(r"(^|_)(total|subtotal|grand_total)(_|$)")
+    is_total = F.col("predicate_key").rlike(r"^(?:total|sub_?total|grand_total)(?:_|$)")
     w = W.partitionBy(*keys).orderBy("row_index").rowsBetween(W.unboundedPreceding, -1)
     rows = cells.withColumn("total", is_total).withColumn("section", F.coalesce(F.sum(F.col("total").cast("int")).over(w), F.lit(0)))
     stated = rows.where("total").select(*keys, "section", F.col("value").alias("stated"), F.col("predicate_key").alias("total_key"))

@@ -20,9 +20,16 @@ from factloom.functions.names import SCHEMES, display_name, entity_type, identif
 MERGE, REVIEW, MARGIN = 97.0, 88.0, 4.0
 
 
+def one_each(entries):
+    """A map of sorted (key, value) entries; of several values of a key the least stays."""
+    schemes = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_arrays(schemes, F.transform(schemes, lambda k: F.get(F.filter(entries, lambda e: e["key"] == k), F.lit(0))["value"]))
+
+
 def prepare(mentions: DataFrame) -> DataFrame:
     """Clean names, keys and identifiers; a DIN makes a person, a CIN a company."""
-    ids = F.map_from_entries(F.transform(F.map_entries(F.map_filter("identifiers", lambda k, v: F.trim(v) != "")), lambda e: F.struct(scheme_key(e["key"]).alias("key"), identifier(scheme_key(e["key"]), e["value"]).alias("value"))))
+    entries = F.transform(F.map_entries(F.map_filter("identifiers", lambda k, v: F.trim(v) != "")), lambda e: F.struct(scheme_key(e["key"]).alias("key"), identifier(scheme_key(e["key"]), e["value"]).alias("value")))
+    ids = one_each(F.array_sort(entries))
     df = mentions.withColumn("identifiers", F.coalesce(ids, F.create_map().cast("map<string,string>"))).withColumn("name", display_name(F.col("name")))
     has = lambda k: F.map_contains_key("identifiers", k)
     return df.withColumns({"entity_type": F.when(has("din"), "person").when(has("cin"), "company").otherwise(entity_type(F.col("entity_type"))), "key": name_key(F.col("name"))})
@@ -95,15 +102,18 @@ def resolve(mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def merged(catalogue: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The catalogue with new entities, learned aliases and identifiers."""
+    """The catalogue with new entities, learned aliases and identifiers.
+
+    Of several values of one scheme the least stays; mentions that clash with the catalogue were resolved to a review entity before.
+    """
     known = catalogue.select("id", F.lit(0).alias("ord"), F.col("canonical_name").alias("name"), "entity_type", "identifiers", F.lit(1.0).alias("confidence"), "aliases")
     seen = resolved.select(F.col("entity_id").alias("id"), F.lit(1).alias("ord"), "name", "entity_type", "identifiers", "confidence", F.array().cast("array<string>").alias("aliases"))
     both = known.unionByName(seen)
     return both.groupBy("id").agg(
         F.min_by("name", F.struct("ord", "name")).alias("canonical_name"), F.min_by("entity_type", F.struct("ord", "name")).alias("entity_type"),
-        F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_entries("identifiers"))))), lambda e: F.struct(e["key"], e["value"]))).alias("identifiers"),
+        F.array_distinct(F.array_sort(F.flatten(F.collect_list(F.map_entries("identifiers"))))).alias("entries"),
         F.array_sort(F.array_distinct(F.concat(F.collect_set("name"), F.flatten(F.collect_list("aliases"))))).alias("aliases"), F.min("confidence").alias("confidence"),
-    )
+    ).select("id", "canonical_name", "entity_type", one_each(F.col("entries")).alias("identifiers"), "aliases", "confidence")
 
 
 def resolve_facts(facts: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -36,17 +36,14 @@ def roles(blocks: DataFrame) -> DataFrame:
 
 
 def split_text(text: str, limit: int) -> list[tuple[int, str]]:
-    """Pieces with their places, each cut at the latest break in the last two fifths of the limit."""
+    """Pieces with their places, each cut at the latest break of any kind in the last two fifths of the limit."""
     out, at = [], 0
     while len(text) - at > limit:
-        lo, cut = at + int(limit * 0.6), -1
-        for mark, keep in (("\n\n", 0), (". ", 1), ("\n", 0), (" ", 0)):
-            k = text.rfind(mark, lo, at + limit)
-            if k >= 0:
-                cut = k + keep
-                break
-        if cut <= at:
+        cut = max(text.rfind(mark, at + int(limit * 0.6), at + limit) for mark in ("\n\n", ". ", "\n", " "))
+        if cut < 0:
             cut = at + limit
+        elif text.startswith(". ", cut):
+            cut += 1
         out.append((at, text[at:cut].rstrip()))
         at = cut + len(text[cut:]) - len(text[cut:].lstrip())
     if text[at:].strip():

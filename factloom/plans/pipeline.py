@@ -1,12 +1,14 @@
-"""From passages to facts, relations and findings, in one lazy plan."""
+"""From passages to facts, stored once, and lazily from those to relations and findings."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from factloom.operators import audit, compare, extract, layout
+from factloom.sources.stored import stored
 
 
 @dataclass
@@ -17,10 +19,23 @@ class Result:
     findings: DataFrame
 
 
-def run(passages: DataFrame, defaults: DataFrame | None = None, cross_document: bool = False, tables: DataFrame | None = None) -> Result:
-    """passages: schemas.PASSAGES and subject_id; with tables (boxes of each page's tables) also boxes, and numbers in tables are no prose facts."""
-    facts, failures = extract.numeric_facts(passages if tables is None else layout.outside_tables(passages, tables), defaults)
-    return Result(facts, failures, compare.relations(compare.pairs(facts, cross_document=cross_document)), audit.discover_growth(facts))
+def run(passages: DataFrame, defaults: DataFrame | None = None, cross_document: bool = False, tables: DataFrame | None = None, cells: DataFrame | None = None) -> Result:
+    """passages: schemas.PASSAGES and subject_id; without that column the subject is what the document reports on.
+
+    With tables (boxes of each page's tables) also boxes, and numbers in tables are no prose
+    facts; with cells (schemas.CELLS) the tables' numbers are facts too, and totals are checked.
+    """
+    if "subject_id" not in passages.columns:
+        passages = extract.with_subjects(passages, extract.reporting_entity(passages.select("document_id", "page_index", "text")))
+    facts, failures = extract.parted(stored(extract.extracted(passages if tables is None else layout.outside_tables(passages, tables), defaults), "extracted"))
+    if cells is not None:
+        more, lost = extract.cell_facts(layout.keep_tables(cells), passages)
+        facts, failures = facts.unionByName(stored(more, "cell-facts")), failures.unionByName(lost)
+    relations = compare.relations(compare.pairs(facts, cross_document=cross_document))
+    growth = audit.discover_growth(facts)
+    kept = growth.select("id", "check_type", "relation_type", F.array("stated.id", "current.id", "prior.id").alias("fact_ids"), "operands", "confidence")
+    repeated = audit.repeated_metrics(relations).select("id", "check_type", "relation_type", "fact_ids", F.lit(None).cast("string").alias("operands"), "confidence")
+    return Result(facts, failures, relations, kept.unionByName(repeated))
 
 
 def link_new(stored: DataFrame, new: DataFrame, cross_document: bool = False) -> DataFrame:

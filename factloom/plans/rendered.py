@@ -68,12 +68,19 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell(one, 0, F.lit(0), F.lit("₹ crore")).unionByName(cell(one, 1, F.lit(0), F.lit("Order value"))).unionByName(cell(v, 0, F.col("column_index"), fy_short(F.col("fy")))).unionByName(cell(v, 1, F.col("column_index"), amount(F.col("b"))))
 
 
+def grid_passages(cells: DataFrame) -> DataFrame:
+    """One passage for each table's page: its cells' texts, row by row."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "column_index", "text"))), lambda c: c["text"]), " | ")
+    return cells.groupBy("document_id", "page_index").agg(text.alias("text")).select(F.concat_ws(":", "document_id", F.lit("grid")).alias("id"), F.concat(F.lit("grid of "), "document_id").alias("document_id"), "page_index", F.lit(0).alias("reading_order"), F.lit("body").alias("role"), "text", F.lit(100).alias("char_start"), F.col("document_id").alias("subject_id"))
+
+
 def line_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each order as a column of amounts with their total below, 1,000 too high for every seventh order."""
-    from factloom.functions.numbers import number
+    from factloom.functions.numbers import number, reused
 
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
     sums = lines.groupBy("l_orderkey").agg(F.sum("cents").alias("s"), F.max("l_linenumber").alias("n"))
     total = sums.select("l_orderkey", (F.col("n") + 1).alias("row_index"), F.lit("total").alias("predicate_key"), (F.col("s") + F.when(F.col("l_orderkey") % 7 == 0, 100_000).otherwise(0)).alias("cents"))
     rows = lines.select("l_orderkey", F.col("l_linenumber").alias("row_index"), F.concat(F.lit("line_"), F.col("l_linenumber").cast("string")).alias("predicate_key"), "cents").unionByName(total)
-    return rows.select(F.col("l_orderkey").cast("string").alias("subject_id"), F.lit("d").alias("document_id"), F.lit(0).alias("page_index"), F.lit(0).alias("table_index"), F.lit(1).alias("column_index"), "row_index", "predicate_key", number(F.concat(F.lit("₹ "), amount(F.col("cents")))).alias("value"))
+    rows = rows.withColumn("raw", F.concat(F.lit("₹ "), amount(F.col("cents"))))
+    return rows.select(F.col("l_orderkey").cast("string").alias("subject_id"), F.lit("d").alias("document_id"), F.lit(0).alias("page_index"), F.lit(0).alias("table_index"), F.lit(1).alias("column_index"), "row_index", "predicate_key", reused(number, "raw").alias("value"))

@@ -83,5 +83,6 @@ def report(document: str, fact: DataFrame, rel: DataFrame, failure: DataFrame) -
     """One document's facts, the relations that touch them, its failures."""
     own = facts(fact, document=document)
     ids = own.select(F.col("id").alias("own"))
-    touching = rel.where("true").join(ids, (F.col("fact_a_id") == F.col("own")) | (F.col("fact_b_id") == F.col("own")), "left_semi")
+    by_a = rel.join(ids, F.col("fact_a_id") == F.col("own"), "left_semi")
+    touching = by_a.unionByName(rel.join(ids, F.col("fact_b_id") == F.col("own"), "left_semi").join(ids, F.col("fact_a_id") == F.col("own"), "left_anti"))
     return {"facts": own, "relations": touching, "failures": failures(failure, document=document)}

@@ -10,6 +10,7 @@ from factloom.functions import names, numbers, periods
 from factloom.operators import audit, compare, entities, extract, layout, registry
 from factloom.plans import pipeline, rendered, views
 from factloom.sources import documents, replay
+from factloom.sources.stored import stored
 
 _NUMBERS = [
     ("1 thousand", 1000.0, None, None, None), ("1.5 lakh", 150000.0, None, None, None), ("2 million", 2000000.0, None, None, None), ("3 crore", 30000000.0, None, None, None),
@@ -42,6 +43,11 @@ def _inputs(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(r[0],) for r in rows], "raw string")
 
 
+def _facts(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, failures), extracted once."""
+    return extract.parted(stored(extract.extracted(passages), "extracted"))
+
+
 def number_golden(spark, sf_dir):
     v = F.col("v")
     return _inputs(spark, _NUMBERS).withColumn("v", numbers.number(F.col("raw"))).select("raw", v["number"].cast("double").alias("number"), v["unit"].alias("unit"), v["currency"].alias("currency"), v["warning"].alias("warning"))
@@ -69,13 +75,13 @@ def key_golden(spark, sf_dir):
 def number_roundtrip(spark, sf_dir):
     """Amounts of all lines, rendered and parsed."""
     lines = rendered.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
-    parsed = lines.withColumn("v", numbers.number(F.concat(F.lit("₹ "), rendered.amount(F.col("cents")), F.lit(" thousand"))))
+    parsed = lines.withColumn("raw", F.concat(F.lit("₹ "), rendered.amount(F.col("cents")), F.lit(" thousand"))).withColumn("v", numbers.reused(numbers.number, "raw"))
     return parsed.select("l_orderkey", "l_linenumber", F.round(F.col("v.number").cast("double"), 2).alias("number"), F.col("v.currency").alias("currency"))
 
 
 def relations_linked(spark, sf_dir):
     """For each nation and fiscal year: does report B corroborate, contradict, or differ by context from report A on order value?"""
-    facts, _ = extract.numeric_facts(rendered.two_reports(spark, sf_dir))
+    facts, _ = _facts(rendered.two_reports(spark, sf_dir))
     rel = compare.relations(compare.pairs(facts, cross_document=True))
     label = facts.select(F.col("id").alias("fact_a_id"), F.col("context.period.label").alias("fiscal_year"), "document_id")
     same = rel.join(label, "fact_a_id").join(facts.select(F.col("id").alias("fact_b_id"), F.col("context.period.label").alias("other")), "fact_b_id").where("fiscal_year = other")
@@ -88,21 +94,21 @@ def relation_types(spark, sf_dir):
 
 def period_reconciled(spark, sf_dir):
     """Pairs of neighbouring and other years within report A: all differ by period only."""
-    facts, _ = extract.numeric_facts(rendered.two_reports(spark, sf_dir).where("document_id = 'report-a'"))
+    facts, _ = _facts(rendered.two_reports(spark, sf_dir).where("document_id = 'report-a'"))
     return compare.relations(compare.pairs(facts)).groupBy(F.col("subject_id").alias("nation"), "relation_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def evidence_verified(spark, sf_dir):
     """Each fact's quotation, cut again from its passage."""
     p = rendered.two_reports(spark, sf_dir)
-    facts, _ = extract.numeric_facts(p)
+    facts, _ = _facts(p)
     j = facts.join(p.select(F.col("id").alias("passage_id"), "text", "char_start"), "passage_id")
     again = F.substring("text", F.col("quote_start") - F.col("char_start") + 1, F.col("quote_end") - F.col("quote_start"))
     return j.groupBy(F.col("document_id")).agg(F.count(F.lit(1)).alias("facts"), F.count_if(again == F.col("quote")).alias("verified"))
 
 
 def growth_checks(spark, sf_dir):
-    facts, _ = extract.numeric_facts(rendered.growth_report(spark, sf_dir))
+    facts, _ = _facts(rendered.growth_report(spark, sf_dir))
     return audit.discover_growth(facts).select(F.col("subject_id").alias("nation"), F.col("stated.context.period.label").alias("fiscal_year"), "relation_type", F.round("calculated", 4).alias("calculated"))
 
 
@@ -111,7 +117,7 @@ def component_totals(spark, sf_dir):
 
 
 def table_cells_to_facts(spark, sf_dir):
-    t = extract.table_facts(rendered.grids(spark, sf_dir))
+    t = extract.table_facts(stored(rendered.grids(spark, sf_dir), "cells"))
     return t.select(F.col("document_id").alias("nation"), "predicate_key", F.col("context.period.label").alias("fiscal_year"), F.col("value.number").cast("double").alias("number"), F.col("value.currency").alias("currency"), F.array_join("warnings", ",").alias("warnings"))
 
 
@@ -170,31 +176,31 @@ def entity_resolution_near(spark, sf_dir):
 
 def incremental_equals_full(spark, sf_dir):
     """Relations found by linking report B's facts to stored ones of report A."""
-    facts, _ = extract.numeric_facts(rendered.two_reports(spark, sf_dir))
+    facts, _ = _facts(rendered.two_reports(spark, sf_dir))
     a, b = (facts.where(F.col("document_id") == d) for d in ("report-a", "report-b"))
     return views.counts(pipeline.link_new(a, b, cross_document=True), "relation_type")
 
 
 def facts_page(spark, sf_dir):
     """The second page of ten facts of report A."""
-    facts, _ = extract.numeric_facts(rendered.two_reports(spark, sf_dir).where("document_id = 'report-a'"))
+    facts, _ = _facts(rendered.two_reports(spark, sf_dir).where("document_id = 'report-a'"))
     return views.page(facts, 2, 10, "subject_id", "context.period.label").select("subject_id", F.col("context.period.label").alias("fiscal_year"), F.col("value.number").cast("double").alias("number"))
 
 
 def document_counts(spark, sf_dir):
-    facts, lost = extract.numeric_facts(rendered.two_reports(spark, sf_dir))
+    facts, lost = _facts(rendered.two_reports(spark, sf_dir))
     rel = compare.relations(compare.pairs(facts, cross_document=True))
     return views.document_counts(facts.select(F.col("document_id").alias("id")).distinct(), facts, rel, lost)
 
 
 def interleaved_facts(spark, sf_dir):
-    facts, _ = extract.numeric_facts(rendered.two_reports(spark, sf_dir))
+    facts, _ = _facts(rendered.two_reports(spark, sf_dir))
     return views.interleaved(facts).select("turn", "document_id").groupBy("turn").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def reprocess_isolation(spark, sf_dir):
     """What is left of facts and relations after report B is cleared."""
-    facts, lost = extract.numeric_facts(rendered.two_reports(spark, sf_dir))
+    facts, lost = _facts(rendered.two_reports(spark, sf_dir))
     rel = compare.relations(compare.pairs(facts))
     p = rendered.two_reports(spark, sf_dir)
     left = documents.clear_document("report-b", facts, rel, audit.repeated_metrics(rel), lost, p)
@@ -243,6 +249,113 @@ def name_keys(spark, sf_dir):
     return s.select("s_suppkey", names.name_key(F.concat(F.lit("Dr. "), "s_name", F.lit(", Private Limited"))).alias("key"))
 
 
+def table_relations(spark, sf_dir):
+    """Order values in tables against report A's prose: table facts have evidence and meet prose facts."""
+    cells = stored(rendered.grids(spark, sf_dir), "cells")
+    facts, _ = extract.cell_facts(layout.keep_tables(cells).withColumn("document_id", F.concat(F.lit("grid of "), "document_id")), rendered.grid_passages(cells))
+    prose, _ = _facts(rendered.two_reports(spark, sf_dir).where("document_id = 'report-a'"))
+    both = stored(prose.unionByName(facts), "facts")
+    rel = compare.relations(compare.pairs(both, cross_document=True))
+    year = lambda k: both.select(F.col("id").alias(f"fact_{k}_id"), F.col("context.period.label").alias(f"year_{k}"))
+    same = rel.join(year("a"), "fact_a_id").join(year("b"), "fact_b_id").where("year_a = year_b")
+    return same.select(F.col("subject_id").alias("nation"), F.col("year_a").alias("fiscal_year"), "relation_type", F.col("value_comparison.difference").cast("double").alias("difference"))
+
+
+def repeated_findings(spark, sf_dir):
+    """Findings and evidence of all of report A's and B's facts in one run."""
+    facts, _ = _facts(rendered.two_reports(spark, sf_dir))
+    found = audit.repeated_metrics(compare.relations(compare.pairs(facts, cross_document=True)))
+    places = documents.evidence(facts, facts.limit(0))
+    return views.counts(found, "relation_type").unionAll(places.agg(F.lit("evidence"), F.count(F.lit(1))))
+
+
+def component_totals_open(spark, sf_dir):
+    """Totals as a grid leaves them: complete components are never proven."""
+    return audit.totals(rendered.line_grids(spark, sf_dir)).groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"), F.sum("n_components").alias("components"), F.count_if(F.col("difference") <= F.col("tolerance")).alias("within"))
+
+
+def context_fields(spark, sf_dir):
+    """Scope, basis, geography and fiscal year of a sentence on each order."""
+    o = rendered.read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    pick = lambda n, *words: F.get(F.array(*map(F.lit, words)), (F.floor(k / n) % len(words)).cast("int"))
+    text = F.concat_ws(" ", pick(1, "The", "Standalone", "Consolidated", "Stand-alone and consolidated"), pick(2, "audited", "unaudited", "plain"), pick(3, "actual", "projected", "other"), F.lit("figures of"), pick(5, "India", "the world", "domestic and worldwide markets"), F.lit("for"), rendered.fy_short(F.year("o_orderdate")))
+    c = F.col("c")
+    return o.select("o_orderkey", text.alias("text")).withColumn("c", numbers.reused(_context.context, "text")).select("o_orderkey", c["scope"].alias("scope"), c["basis"].alias("basis"), c["geography"].alias("geography"), c["period"]["label"].alias("fiscal_year"), c["confidence"].alias("confidence"), F.array_join(c["warnings"], ",").alias("warnings"))
+
+
+def director_records(spark, sf_dir):
+    """DIN records of all customers as directors: name, status and date."""
+    letters = F.initcap(F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"))
+    k = F.col("c_custkey") % 3
+    end = F.when(k == 0, ", resigned from the Board on August 24, 2023.").when(k == 1, ", appointed on April 1st, 2020.").otherwise(", an independent member.")
+    c = rendered.read(spark, sf_dir, "customer")
+    text = F.concat(F.lit("Mr. A"), letters, F.lit(" Vander-Berg"), F.lit(" (DIN: "), F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.lit(")"), end)
+    p = c.select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("document_id"), F.lit(0).alias("page_index"), F.lit(0).alias("reading_order"), F.lit("body").alias("role"), text.alias("text"), F.lit(0).alias("char_start"))
+    return extract.identifier_records(p).select("document_id", "scheme", "identifier", "name", "status", F.col("as_of").cast("string").alias("as_of"))
+
+
+def reporting_entities(spark, sf_dir):
+    """Reports of each nation's holding: named up front and again, once only (then the place), or not at all."""
+    n = rendered.read(spark, sf_dir, "nation")
+    who, kind = F.concat(F.initcap(F.translate("n_name", "_0123456789", "-abcdefghij")), F.lit(" Holdings Limited")), F.col("n_nationkey") % 3
+    vendor = F.lit("Cited Vendor Limited, Cited Vendor Limited, Cited Vendor Limited and Cited Vendor Limited sell data.")
+    front = F.when(kind == 2, "A report on the economy.").otherwise(F.concat(F.lit("The "), who, F.lit(" presents its report.")))
+    later = F.when(kind == 0, F.concat(F.lit("Of "), who, F.lit(", more.")))
+    page = lambda k, text: n.select(F.col("n_name").alias("document_id"), F.lit(k).alias("page_index"), text.alias("text"))
+    pages = page(0, front).unionAll(page(1, F.when(kind == 1, "Growth in India was high.").otherwise("Nothing else."))).unionAll(page(3, F.coalesce(later, F.lit("-")))).unionAll(page(4, vendor))
+    return extract.reporting_entity(pages).select("document_id", "name", "entity_type", "id")
+
+
+def entity_merge(spark, sf_dir):
+    """The catalogue of suppliers after mentions with a scheme spelled twice and names of their own."""
+    s = rendered.read(spark, sf_dir, "supplier")
+    cin = F.lpad(F.concat(F.lit("C"), F.col("s_suppkey").cast("string")), 21, "0")
+    _, catalogue = _suppliers(spark, sf_dir)
+    mentions = s.select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("Known as "), F.col("s_suppkey").cast("string")).alias("name"), F.lit("company").alias("entity_type"), F.create_map(F.lit("CIN"), F.lower(cin), F.lit("cin"), cin, F.lit("LEI"), F.lit(" ")).alias("identifiers"))
+    m = entities.merged(catalogue, entities.resolve(mentions, catalogue))
+    return m.select("id", "canonical_name", "entity_type", F.col("identifiers")["cin"].alias("cin"), F.size("identifiers").alias("schemes"), F.array_join("aliases", "|").alias("aliases"))
+
+
+def status_updates(spark, sf_dir):
+    """Orders as documents: status changes, and rows replaced by the latest of their line items."""
+    o = rendered.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("registered").alias("status"), F.lit(1).alias("page_count"))
+    changes = o.select("id", F.when(F.col("id") % 3 == 0, "complete").when(F.col("id") % 3 == 1, "failed").alias("status"), F.when(F.col("id") % 2 == 0, 9).alias("page_count")).where("id % 5 <> 0")
+    lines = rendered.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit(None).cast("string").alias("status"), (F.col("l_linenumber") * 100).cast("int").alias("page_count"))
+    return documents.upsert(documents.set_status(o, changes), lines.where("id % 7 = 0"), ["id"], latest="page_count").select("id", "status", "page_count")
+
+
+def text_rules(spark, sf_dir):
+    """Redaction, spellings, text keys and conflicting identifiers of customers."""
+    c = rendered.read(spark, sf_dir, "customer")
+    ids = lambda v: F.create_map(F.lit("lei"), v, F.lit("din"), F.lit("1"))
+    other = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("none")
+    return c.select(
+        "c_custkey", names.redacted(F.concat(F.lit("API_KEY= "), "c_mktsegment", F.lit(" of "), "c_name")).alias("safe"), F.size(names.unique_text(F.array("c_name", F.upper("c_name"), F.lower("c_name"), "c_mktsegment"))).alias("spellings"),
+        (names.text_key(F.upper("c_name")) == names.text_key(F.concat(F.lit(" "), "c_name", F.lit("!")))).alias("same"), F.array_join(names.identifier_conflicts(ids(F.col("c_mktsegment")), ids(other)), ",").alias("conflicts"),
+    )
+
+
+def period_forms(spark, sf_dir):
+    """Periods written in several ways, from each order's date."""
+    o = rendered.read(spark, sf_dir, "orders")
+    y, k = F.year("o_orderdate"), F.col("o_orderkey") % 6
+    two = F.lpad(((y + 1) % 100).cast("string"), 2, "0")
+    text = (
+        F.when(k == 0, F.concat(F.lit("growth in FY "), y.cast("string"), F.lit("-"), two)).when(k == 1, F.concat(F.lit("Fiscal year "), y.cast("string"))).when(k == 2, F.concat(F.lit("as of "), F.date_format("o_orderdate", "MMMM d, yyyy")))
+        .when(k == 3, F.concat(F.lit("fiscal "), y.cast("string"))).when(k == 4, F.concat(F.lit("Q3 FY"), two)).otherwise(F.concat(F.lit("FY "), y.cast("string"), F.lit("-"), (y + 2).cast("string")))
+    )
+    p = F.col("p")
+    return o.select("o_orderkey", text.alias("text")).withColumn("p", numbers.reused(periods.period, "text")).select("o_orderkey", p["label"].alias("label"), p["start"].cast("string").alias("start_date"), p["end"].cast("string").alias("end_date"), p["as_of"].cast("string").alias("as_of"), p["kind"].alias("kind"))
+
+
+def measure_keys(spark, sf_dir):
+    """Keys of part types as measures, with unit notes, other brackets and none."""
+    p = rendered.read(spark, sf_dir, "part")
+    note = F.get(F.array(*map(F.lit, (" (₹ crore)", " (others)", " in INR million", " & more %", ""))), (F.col("p_partkey") % 5).cast("int"))
+    return p.select("p_partkey", F.concat(F.when(F.col("p_partkey") % 11 == 0, "7 ").otherwise(""), F.when(F.col("p_partkey") % 13 == 0, "₹").otherwise(F.col("p_type")), note).alias("label")).select("p_partkey", numbers.reused(_context.measure_key, "label").alias("key"))
+
+
 _VALUE = """WITH v AS (
   SELECT n_name AS nation, n_nationkey AS rule, year(o_orderdate) + CASE WHEN month(o_orderdate) >= 4 THEN 1 ELSE 0 END AS fy, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
@@ -279,11 +392,29 @@ _SQL = {
     "reprocess_isolation": _VALUE + ", k AS (SELECT nation, count(*) AS c FROM w GROUP BY nation) SELECT 'facts' AS what, CAST(sum(c) AS BIGINT) AS n FROM k UNION ALL SELECT 'passages', CAST(sum(c) AS BIGINT) FROM k UNION ALL SELECT 'relations', CAST(sum(c * (c - 1) // 2) AS BIGINT) FROM k",
     "model_replay_grounding": "SELECT * FROM (VALUES ('ok', NULL, 277::BIGINT), ('quote', 'grounding', NULL), ('raw', 'grounding', NULL), ('subject', 'grounding', NULL), ('schema', 'schema', NULL)) AS t(passage_id, reason, quote_start)",
     "name_keys": "SELECT s_suppkey, regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g') AS key FROM supplier",
+    "incremental_equals_full": _VALUE + ", c AS (SELECT nation, rule, count(*) AS n FROM w GROUP BY ALL) SELECT relation_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT kind AS relation_type, count(*) AS n FROM x GROUP BY 1 UNION ALL SELECT CASE WHEN rule % 5 = 1 THEN 'incomparable' ELSE 'reconciled_by_period' END, n * (n - 1) FROM c WHERE n > 1) GROUP BY 1",
+    "table_relations": _VALUE + "SELECT nation, label AS fiscal_year, CASE WHEN d < 55000 THEN 'corroborates' ELSE 'needs_review' END AS relation_type, CAST(d AS DOUBLE) AS difference FROM x WHERE nation IN (SELECT nation FROM w GROUP BY nation HAVING count(*) >= 1)",
+    "repeated_findings": _VALUE + "SELECT kind AS relation_type, count(*) AS n FROM x WHERE kind <> 'reconciled_by_scope' GROUP BY 1 UNION ALL SELECT 'evidence', 2 * count(*) FROM w",
+    "component_totals_open": "SELECT 'needs_review' AS relation_type, count(*) AS n, CAST(sum(c) AS BIGINT) AS components, count(*) FILTER (l_orderkey % 7 <> 0) AS within FROM (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY 1 HAVING count(*) >= 2)",
+    "context_fields": """WITH k AS (SELECT o_orderkey, year(o_orderdate) AS y, o_orderkey % 4 AS s, (o_orderkey // 2) % 3 AS a, (o_orderkey // 3) % 3 AS v, (o_orderkey // 5) % 3 AS g FROM orders)
+SELECT o_orderkey, CASE s WHEN 1 THEN 'standalone' WHEN 2 THEN 'consolidated' END AS scope, nullif(concat_ws('; ', CASE a WHEN 0 THEN 'audited' WHEN 1 THEN 'unaudited' END, CASE v WHEN 0 THEN 'actual' WHEN 1 THEN 'forecast' END), '') AS basis, CASE g WHEN 0 THEN 'India' END AS geography,
+  'FY ' || (y - 1) || '-' || lpad(CAST(y % 100 AS VARCHAR), 2, '0') AS fiscal_year, CASE WHEN s = 3 THEN 0.65 ELSE 0.95 END::DOUBLE AS confidence, concat_ws(',', CASE WHEN s = 3 THEN 'ambiguous_scope' END, CASE WHEN g = 2 THEN 'ambiguous_geography' END) AS warnings FROM k""",
+    "director_records": "SELECT 'd' || c_custkey AS document_id, 'din' AS scheme, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS identifier, 'A' || upper(translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij')[1]) || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij')[2:] || ' Vander-Berg' AS name, CASE c_custkey % 3 WHEN 0 THEN 'resigned' WHEN 1 THEN 'appointed' END AS status, CASE c_custkey % 3 WHEN 0 THEN '2023-08-24' WHEN 1 THEN '2020-04-01' END AS as_of FROM customer",
+    "reporting_entities": "WITH k AS (SELECT n_name, n_nationkey % 3 AS k, upper(n_name[1]) || lower(translate(n_name[2:], '_0123456789', '-abcdefghij')) AS t FROM nation) SELECT n_name AS document_id, CASE k WHEN 0 THEN t || ' Holdings Limited' WHEN 1 THEN 'India' END AS name, CASE k WHEN 0 THEN 'company' WHEN 1 THEN 'place' END AS entity_type, CASE k WHEN 1 THEN 'place:india' END AS id FROM k",
+    "entity_merge": "SELECT 's' || s_suppkey AS id, s_name || ' Limited' AS canonical_name, 'company' AS entity_type, lpad('C' || s_suppkey, 21, '0') AS cin, 1 AS schemes, 'Known as ' || s_suppkey || '|' || s_name || ' Limited' AS aliases FROM supplier",
+    "status_updates": "WITH l AS (SELECT l_orderkey AS id, max(l_linenumber) * 100 AS pages FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1), c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'registered' WHEN o_orderkey % 3 = 0 THEN 'complete' WHEN o_orderkey % 3 = 1 THEN 'failed' ELSE 'registered' END AS status, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 THEN 9 ELSE 1 END AS page_count FROM orders) SELECT id, status, CAST(coalesce(pages, page_count) AS INTEGER) AS page_count FROM c FULL JOIN l USING (id)",
+    "text_rules": "SELECT c_custkey, 'API_KEY= [redacted] of ' || c_name AS safe, 2 AS spellings, true AS same, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'lei' END AS conflicts FROM customer",
+    "period_forms": """WITH k AS (SELECT o_orderkey, o_orderkey % 6 AS k, year(o_orderdate) AS y, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d FROM orders),
+s AS (SELECT *, CASE k WHEN 0 THEN y WHEN 1 THEN y - 1 WHEN 4 THEN y WHEN 5 THEN y END AS a, CASE k WHEN 0 THEN y + 1 WHEN 1 THEN y WHEN 4 THEN y + 1 WHEN 5 THEN y + 2 END AS b FROM k)
+SELECT o_orderkey, CASE WHEN k = 4 THEN 'Q3 ' ELSE '' END || 'FY ' || a || '-' || lpad(CAST(b % 100 AS VARCHAR), 2, '0') AS label, CASE k WHEN 4 THEN a || '-10-01' ELSE a || '-04-01' END AS start_date, CASE k WHEN 4 THEN a || '-12-31' ELSE b || '-03-31' END AS end_date, CASE WHEN k = 2 THEN d END AS as_of,
+  CASE k WHEN 2 THEN 'point_in_time' WHEN 3 THEN NULL WHEN 4 THEN 'quarter' ELSE 'fiscal_year' END AS kind FROM s""",
+    "measure_keys": "WITH k AS (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') END AS t, CASE p_partkey % 5 WHEN 1 THEN 'others' WHEN 3 THEN 'and_more_percentage' ELSE '' END AS n, p_partkey % 11 = 0 AS seven FROM part), j AS (SELECT p_partkey, concat_ws('_', CASE WHEN seven THEN 'measure_7' END, nullif(t, ''), nullif(n, '')) AS key FROM k) SELECT p_partkey, CASE WHEN key = '' THEN 'unnamed_measure' ELSE key END AS key FROM j",
 }
 
 _ALL = (
     number_golden, range_golden, date_golden, period_golden, key_golden, number_roundtrip, relations_linked, relation_types, period_reconciled, evidence_verified, growth_checks, component_totals, table_cells_to_facts,
     candidate_counts, document_dedupe, repeated_furniture, predicate_registry, entity_resolution, entity_resolution_near, incremental_equals_full, facts_page, document_counts, interleaved_facts, reprocess_isolation, passage_layout, model_replay_grounding, name_keys,
+    table_relations, repeated_findings, component_totals_open, context_fields, director_records, reporting_entities, entity_merge, status_updates, text_rules, period_forms, measure_keys,
 )
 
 

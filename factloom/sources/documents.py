@@ -23,18 +23,35 @@ def register(new: DataFrame, stored: DataFrame) -> DataFrame:
     return first.join(stored.select("content_hash"), "content_hash", "left_anti")
 
 
-def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows, replaced by new ones of the same key; of repeated new rows one stays."""
-    return stored.join(new.select(*keys), keys, "left_anti").unionByName(new.dropDuplicates(keys))
+def upsert(stored: DataFrame, new: DataFrame, keys: list[str], latest: str | None = None) -> DataFrame:
+    """Stored rows, replaced by new ones of the same key; of repeated new rows the one with the highest ``latest`` stays, without it any.
 
+    Columns that the new row leaves null keep their stored value.
+    """
+    one = new.dropDuplicates(keys) if latest is None else new.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(latest)))).where("_n = 1").drop("_n")
+    others = [c for c in stored.columns if c not in keys]
+    s, n = stored.withColumn("_s", F.lit(True)), one.select(*keys, *(F.col(c).alias(f"_{c}") for c in others))
+    return s.join(n, keys, "full_outer").select(*(F.col(c) if c in keys else F.coalesce(f"_{c}", c).alias(c) for c in stored.columns))
 
-def store_facts(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Facts with a fingerprint of what they claim and where; a claim repeated in a document is kept once."""
+
+def _claimed(stored: DataFrame, new: DataFrame) -> DataFrame:
     claim = F.sha2(F.to_json(F.struct("subject_id", "predicate_key", "value.number", "value.text", "value.identifier", "value.unit", "value.currency", "context.period", "context.scope", "context.basis", "context.as_of", "context.geography", "document_id")), 256)
-    both = stored.withColumn("_o", F.lit(0)).unionByName(new.withColumn("_o", F.lit(1))).withColumn("fingerprint", claim)
+    return stored.withColumn("_o", F.lit(0)).unionByName(new.withColumn("_o", F.lit(1)), allowMissingColumns=True).withColumn("fingerprint", claim)
+
+
+def store_facts(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Facts with a fingerprint of what they claim and where; a claim repeated in a document is kept once, its places are in ``evidence``."""
+    both = _claimed(stored, new)
     return both.withColumn("_n", F.row_number().over(W.partitionBy("fingerprint").orderBy("_o", "id"))).where("_n = 1").drop("_n", "_o")
 
 
+def evidence(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """(fact_id, document_id, passage_id, quote, quote_start, quote_end): every place of each claim, under the id of the fact that is kept."""
+    both = _claimed(stored, new)
+    kept = both.groupBy("fingerprint").agg(F.min_by("id", F.struct("_o", "id")).alias("fact_id"))
+    return both.join(kept, "fingerprint").select("fact_id", "document_id", "passage_id", "quote", "quote_start", "quote_end").distinct()
+
+
 def canonical_relations(relations: DataFrame) -> DataFrame:
     """One row per unordered pair, least id first; the sides of each difference follow."""
     swap = F.col("fact_a_id") > F.col("fact_b_id")

@@ -10,6 +10,7 @@ from factloom import queries
 from factloom.functions import context, names, numbers
 from factloom.operators import compare, entities, extract, layout
 from factloom.plans import pipeline
+from factloom.sources import documents
 from factloom.schemas import BLOCKS, CELLS, FACTS
 
 
@@ -179,3 +180,55 @@ def test_repeated_furniture_finds_lines_at_any_place(spark, tmp_path):
     rows = [(1, "a", "First one\nbody\nPage 1 of 9"), (2, "a", "Another\n\nPage 22 of 9"), (3, "b", "First one\nbody"), (4, "a", "body\nbody\n"), (5, "a", None)]
     spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(queries.repeated_furniture(spark, tmp_path).collect()) == [("a", "body", 2), ("a", "page # of", 2)]
+
+
+def test_label_after_a_colon(spark):
+    facts, lost = facts_of(spark, "Segment: Revenue ₹5 crore for FY24.", "Revenue: ₹5 crore", "Our total revenue (1) was ₹10 crore during FY24.", "The profit on a consolidated basis for Q1 FY24 grew by 2.5%.")
+    got = {r["passage_id"]: (r["predicate_key"], r["extraction_confidence"]) for r in facts.collect()}
+    assert got == {"p0": ("revenue", 0.72), "p2": ("revenue_from_operations", 0.92), "p3": ("profit_percentage_change", 0.9)}
+    assert [r["passage_id"] for r in lost.collect()] == ["p1"]
+
+
+def test_clean_labels(spark):
+    cases = {"The Revenue (a+b)": "Revenue", "and the total income on a consolidated basis": "total income", "profit for Q1 FY24 of all": "profit", "growth of": None, "values": None, "for FY": None, "whatever our net debt*": "net debt", "a": None, "x" * 121: None, "EBITDA (margin)": "EBITDA (margin)"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r[0]: r[1] for r in df.select("t", extract.clean_label(F.col("t"))).collect()} == cases
+
+
+def test_the_latest_break_splits():
+    text = "a" * 70 + "\n\n" + "b" * 15 + " " + "c" * 60
+    assert layout.split_text(text, 100) == [(0, text[:87]), (88, text[88:])]
+    assert layout.split_text("x" * 80 + ". " + "y" * 60, 100)[0] == (0, "x" * 80 + ".")
+
+
+def test_a_company_cited_later_is_not_reported_on(spark):
+    rows = [("d", 0, "Foo Limited"), ("d", 1, "of Foo Limited, CIN: U63090DL2011PLC221234"), *(("d", k, "Bar Limited") for k in range(3, 7)), ("e", 0, "growth in India"), ("e", 1, "data of Census India Private Limited"), ("f", 0, None)]
+    got = {r["document_id"]: (r["name"], r["entity_type"], r["id"]) for r in extract.reporting_entity(spark.createDataFrame(rows, "document_id string, page_index int, text string")).collect()}
+    assert got == {"d": ("Foo Limited", "company", "cin:U63090DL2011PLC221234"), "e": ("India", "place", "place:india"), "f": (None, None, None)}
+
+
+def test_a_scheme_written_twice(spark):
+    catalogue = spark.createDataFrame([("p", "First Person", "person", {"din": "00000001"}, [])], "id string, canonical_name string, entity_type string, identifiers map<string,string>, aliases array<string>")
+    mentions = spark.createDataFrame([("1", "First Person", "person", {"DIN": "1", "din": "00000001", "lei": "a"}), ("2", "First Person", "person", {"din": "1", "LEI": "b"})], "id string, name string, entity_type string, identifiers map<string,string>")
+    row = entities.merged(catalogue, entities.resolve(mentions, catalogue)).where("id = 'p'").first()
+    assert row["identifiers"] == {"din": "00000001", "lei": "A"}
+
+
+def test_evidence_keeps_every_place(spark):
+    facts, _ = facts_of(spark, LINE.format(scope="consolidated ", fy="FY24", v="₹100 crore"), "-", LINE.format(scope="consolidated ", fy="FY24", v="₹100 crore"))
+    facts = spark.createDataFrame(facts.collect(), FACTS)
+    old, new = facts.where("passage_id = 'p0'"), facts.where("passage_id = 'p2'")
+    assert documents.store_facts(old, new).count() == 1
+    assert {(r["fact_id"], r["passage_id"]) for r in documents.evidence(old, new).collect()} == {(old.first()["id"], p) for p in ("p0", "p2")}
+
+
+def test_cells_become_facts_with_evidence(spark):
+    grid = [["₹ Cr", "FY23", "FY24"], ["Revenue from customers", "7,225", "8,142"], ["Costs", "99", "1,000"]]
+    cells = spark.createDataFrame([("d0", 0, 0, r, c, t) for r, row in enumerate(grid) for c, t in enumerate(row)], CELLS)
+    held = passages(spark, "₹ Cr FY23 FY24 Revenue from customers 7,225 8,142 Costs 99")
+    facts, lost = extract.cell_facts(cells, held)
+    text = held.first()["text"]
+    for r in facts.collect():
+        assert text[r["quote_start"] - 100 : r["quote_end"] - 100] == r["quote"] and r["subject_id"] == "s"
+    assert {r["quote"] for r in facts.collect()} == {"7,225", "8,142", "99"} and lost.count() == 1
+    assert spark.createDataFrame(facts.collect(), FACTS).schema == spark.createDataFrame([], FACTS).schema
