@@ -256,19 +256,23 @@ def own_text(blocks: list[list[str]], cover: np.ndarray) -> str:
 
 
 def unique_text(pages: list[list[str]]) -> list[str]:
-    """Each page's blocks without the runs that other pages repeat."""
+    """Each page's blocks without the runs that other pages repeat. Pages of the same blocks count as one."""
     number: dict[str, int] = {}
-    tokens = [[b.split(" ") for b in p] for p in pages]
+    place: dict[tuple[str, ...], int] = {}
+    own = [place.setdefault(tuple(p), len(place)) for p in pages]
+    tokens = [[b.split(" ") for b in p] for p in place]
     covered = repeated([np.array([number.setdefault(t, len(number)) for b in p for t in b], np.int64) for p in tokens])
-    return [own_text(p, cover) for p, cover in zip(tokens, covered, strict=True)]
+    text = [own_text(p, cover) for p, cover in zip(tokens, covered, strict=True)]
+    return [text[k] for k in own]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, url, text, n_chars.
 
     A null or empty html has an empty text. Pages whose URL is null or has no host form one
-    host. Repeated rows are separate pages: three undecided copies of a page on one host
-    repeat one another. Other columns are not read.
+    host. Repeated rows each have their row; undecided pages of a host with the same blocks
+    count as one page, so that copies don't take one another's text. An empty table gives no
+    rows. Other columns are not read.
     """
     source = picked(pages, id=id_col, url=url_col, html=html_col)
     kind = source.schema["id"].dataType.simpleString()
@@ -299,9 +303,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uid, host, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for uid, page, host, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys = np.unique(run_keys(host, [t for b in blocks for t in b.split(" ")]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), uid, np.int64)), pa.array(keys)], names=["uid", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), uid, np.int64)), pa.array(np.full(len(keys), page, np.int64)), pa.array(keys)], names=["uid", "page", "key"])
 
     def uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,8 +323,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     large = F.broadcast(materialize(rest.groupBy("host").agg(F.sum("size").alias("size")).where(F.col("size") > GROUP_CHARS).select("host"), "hosts"))  # a row per GROUP_CHARS of text at most
     small_text = rest.join(large, "host", "left_anti").groupBy("host").applyInPandas(undecided_text, out)
     big = rest.join(large, "host", "left_semi")
-    keys = big.select("uid", "host", "blocks").mapInArrow(keyed, "uid bigint, key bigint")
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES).select("key")
+    keys = big.select("uid", F.xxhash64("host", "blocks").alias("page"), "host", "blocks").mapInArrow(keyed, "uid bigint, page bigint, key bigint")
+    often = keys.groupBy("key", "page").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("key")
     runs = keys.join(often, "key").groupBy("uid").agg(F.collect_list("key").alias("often"))
     big_text = big.join(runs, "uid", "left").select("id", "url", "host", "blocks", "often").mapInArrow(uncovered, out)
     return decided.unionAll(small_text).unionAll(big_text).toDF(id_col, "url", "text", "n_chars")

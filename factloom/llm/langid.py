@@ -25,7 +25,7 @@ SAMPLE_BYTES = 4 << 20
 ALL_BYTES = 64 << 20
 MAX_LANGUAGES = 256
 #: Bytes that a worker's cache of word lengths may take, about; longer words aren't kept.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 96 << 20
 CACHED_WORD = 64
 
 RESULT = "struct<lang_pred:string,score:double>"

@@ -31,7 +31,10 @@ from factloom.llm._text import LOWER_TOKENS, U64, Words, mix, slices
 #: Distinct keys that a task gathers before it sends them.
 GATHER = 3_000_000
 END = U64(0x5851F42D4C957F2D)
+#: Word numbers take half of a bigram's key.
 MAX_WORDS = (1 << 32) - 2
+#: Counts from here on are kept in a list of their own, by place.
+MANY = (1 << 32) - 1
 
 
 def unmix(x: np.ndarray) -> np.ndarray:
@@ -108,6 +111,8 @@ class Model:
     #: Word numbers of one range file, and the number of those.
     width: int
     ranges: int
+    #: From this count on, bigram counts are in a list of their own.
+    many: int
 
     @property
     def vocabulary(self) -> int:
@@ -240,7 +245,9 @@ def fit(train: DataFrame) -> Model:
         shard = int(frame["shard"].iloc[0])
         key, count = _gathered(frame, ["count"])
         _store.put(f"{path}/pair-{shard}.u8", key)
-        _store.put(f"{path}/times-{shard}.u4", np.minimum(count, U64((1 << 32) - 1)).astype(np.uint32))
+        _store.put(f"{path}/times-{shard}.u4", np.minimum(count, U64(MANY)).astype(np.uint32))
+        many = np.flatnonzero(count >= U64(MANY))
+        _store.put(f"{path}/many-{shard}.u8", np.column_stack([many.astype(U64), count[many]]).ravel())
         both = unmix(key)
         of_counts = [int((count == k).sum()) for k in (1, 2, 3, 4)]
         one = [(count == U64(1)).astype(U64), (count == U64(2)).astype(U64), (count > U64(2)).astype(U64)]
@@ -283,7 +290,7 @@ def fit(train: DataFrame) -> Model:
     of1, of2, of3, of4, more, predecessors = (float(sum(r[c] for r in low)) for c in ("of1", "of2", "of3", "of4", "more", "all"))
     unigram = _discounts([of1, of2, of3, of4])
     left = unigram[0] * of1 + unigram[1] * of2 + unigram[2] * more
-    return Model(path, words, shards, sum(r["tokens"] for r in found), sum(r["ends"] for r in found), bigram, unigram, predecessors, left / predecessors if predecessors else 1.0, width, ranges)
+    return Model(path, words, shards, sum(r["tokens"] for r in found), sum(r["ends"] for r in found), bigram, unigram, predecessors, left / predecessors if predecessors else 1.0, width, ranges, MANY)
 
 
 class Scorer:
@@ -324,7 +331,11 @@ class Scorer:
                 at = np.searchsorted(known, distinct[lo:hi])
                 at[at == len(known)] = 0
                 hit = known[at] == distinct[lo:hi]
-                times[lo:hi][hit] = count[at[hit]]
+                found = count[at[hit]].astype(np.float64)
+                if (full := found >= self.m.many).any():
+                    places, whole = _store.mapped(f"{self.m.path}/many-{k}.u8", U64).reshape(-1, 2).T
+                    found[full] = whole[np.searchsorted(places, at[hit][full].astype(U64))]
+                times[lo:hi][hit] = found
         return times[back]
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:

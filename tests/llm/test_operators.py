@@ -231,6 +231,22 @@ def test_html_of_a_large_host(spark, monkeypatch):
     assert text() == large
 
 
+@pytest.mark.parametrize("most", [html_text.GROUP_CHARS, 10])
+def test_html_copies_keep_their_text(spark, monkeypatch, most):
+    monkeypatch.setattr(html_text, "GROUP_CHARS", most)
+    own = "this very page has these eleven words all of its own"
+    rows = [(i, "http://h.com/", SHELL.format("x", f"<p>{own}</p>")) for i in range(5)] + [(10 + i, "http://h.com/", SHELL.format(i, "")) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {i: f"page x says something of its own\n{own}" for i in range(5)} | {10 + i: f"page {i} says something of its own" for i in range(3)}
+
+
+def test_counts_beyond_four_bytes(spark, odd, monkeypatch):
+    score = lambda: sorted((r["doc_id"] or -1, r["score"]) for r in ngram_lm.score(odd, ngram_lm.fit(ngram_lm.training_rows(odd))).collect())
+    usual = score()
+    monkeypatch.setattr(ngram_lm, "MANY", 2)
+    assert score() == usual
+
+
 def test_repeated_runs():
     rng = np.random.default_rng(2)
     pages = [np.r_[rng.integers(0, 50, 30), np.arange(100, 112), rng.integers(0, 50, 5)] for _ in range(4)]
