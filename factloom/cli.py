@@ -1,4 +1,4 @@
-"""Command line over Parquet tables: ``python -m factloom.cli link PASSAGES OUT`` and ``status OUT``."""
+"""Command line over Parquet tables: ``python -m factloom.cli link PASSAGES OUT``, ``status OUT`` and ``report OUT DOCUMENT JSON``."""
 
 from __future__ import annotations
 
@@ -19,12 +19,19 @@ def main(arguments: list[str] | None = None) -> int:
     link.add_argument("--cross-document-only", action="store_true")
     status = commands.add_parser("status", help="count relations by type")
     status.add_argument("out")
+    report = commands.add_parser("report", help="write a document's facts, relations and failures as JSON lines")
+    report.add_argument("out")
+    report.add_argument("document")
+    report.add_argument("json")
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if given.command == "link":
         result = pipeline.run(spark.read.parquet(given.passages), cross_document=given.cross_document_only)
         for name in ("facts", "failures", "relations", "findings"):
             getattr(result, name).write.mode("overwrite").parquet(f"{given.out}/{name}")
+    if given.command == "report":
+        views.write_json(views.report(given.document, *(spark.read.parquet(f"{given.out}/{k}") for k in ("facts", "relations", "failures"))), given.json)
+        return 0
     views.counts(spark.read.parquet(f"{given.out}/relations"), "relation_type").show(truncate=False)
     return 0
 

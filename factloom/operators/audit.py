@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,8 +71,11 @@ def discover_growth(facts: DataFrame) -> DataFrame:
     joined = joined.where(gap.between(-1, 45) & F.col("current.context.scope").eqNullSafe(F.col("prior.context.scope")) & (F.abs(long - other) <= F.greatest(F.lit(31.0), long * 0.25)))
     joined = joined.withColumn("order", F.struct(F.col("current.id").alias("c"), (-F.unix_date(before)).alias("p"), F.col("prior.id").alias("i")))
     best = joined.groupBy("subject_id", "base", F.col("stated.id").alias("stated_id")).agg(F.min_by(F.struct("stated", "current", "prior"), "order").alias("x")).select("subject_id", "base", "x.*")
-    x = lambda k: ~F.col(f"current.{k}").eqNullSafe(F.col(f"prior.{k}"))
-    issues = F.array_compact(F.array(*(F.when(x(k), name) for k, name in (("value.unit", "unit"), ("value.currency", "currency"), ("context.scope", "scope"), ("context.basis", "basis"), ("context.geography", "geography")))))
+    same = lambda k, *sides: reduce(and_, (F.col(f"{sides[0]}.{k}").eqNullSafe(F.col(f"{o}.{k}")) for o in sides[1:]))
+    shared = lambda k: reduce(and_, (F.lower(F.trim(F.col(f"current.context.{k}"))).eqNullSafe(F.lower(F.trim(F.col(f"{o}.context.{k}")))) for o in ("prior", "stated")))
+    days = lambda s: F.date_diff(F.col(f"{s}.context.period.end"), F.col(f"{s}.context.period.start"))
+    wrong = [(~same(f"value.{k}", "current", "prior"), k) for k in ("unit", "currency")] + [(~shared(k), k) for k in ("scope", "basis", "as_of", "geography")] + [(F.abs(days("current") - days("prior")) > 7, "period")]
+    issues = F.array_compact(F.array(*(F.when(is_, name) for is_, name in wrong)))
     return growth(best.withColumn("issues", issues)).withColumns({"id": short_hash("finding_", F.lit("growth"), F.col("stated.id"), F.col("current.id"), F.col("prior.id")), "check_type": F.lit("growth"), "formula": F.lit("(current - prior) / abs(prior) * 100")})
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,3 +88,48 @@ def report(document: str, fact: DataFrame, rel: DataFrame, failure: DataFrame) -
     by_a = rel.join(ids, F.col("fact_a_id") == F.col("own"), "left_semi")
     touching = by_a.unionByName(rel.join(ids, F.col("fact_b_id") == F.col("own"), "left_semi").join(ids, F.col("fact_a_id") == F.col("own"), "left_anti"))
     return {"facts": own, "relations": touching, "failures": failures(failure, document=document)}
+
+
+def documents(df: DataFrame, status: str | None = None, extraction_mode: str | None = None) -> DataFrame:
+    for column, value in (("status", status), ("extraction_mode", extraction_mode)):
+        if value is not None:
+            df = df.where(F.col(column) == value)
+    return df.orderBy("created_at", "id")
+
+
+def fact_details(fact: DataFrame) -> DataFrame:
+    """Facts with raw_value, normalized_value (as text: the number, else the date, state, identifier or text) and confidence, the lesser of the two."""
+    v = lambda k: F.col(f"value.{k}").cast("string")
+    return fact.withColumns({"raw_value": F.col("value.raw"), "normalized_value": F.coalesce(v("number"), v("date_value"), v("bool_value"), v("identifier"), v("text"), v("raw")), "confidence": F.least("extraction_confidence", "normalization_confidence")})
+
+
+def evidence(df: DataFrame, passages: DataFrame, fact: str | None = None, document: str | None = None) -> DataFrame:
+    """Evidence with its document and page, in reading order."""
+    df = df if fact is None else df.where(F.col("fact_id") == fact)
+    at = df.drop("document_id", "page_index").join(passages.select(F.col("id").alias("passage_id"), "document_id", "page_index"), "passage_id")
+    return (at if document is None else at.where(F.col("document_id") == document)).orderBy("page_index", "quote_start", "id")
+
+
+def findings(df: DataFrame, check_type: str | None = None, relation_type: str | None = None, review_state: str | None = None, fact: str | None = None) -> DataFrame:
+    for column, value in (("check_type", check_type), ("relation_type", relation_type), ("review_state", review_state)):
+        if value is not None:
+            df = df.where(F.col(column) == value)
+    return df if fact is None else df.where(F.array_contains("fact_ids", fact))
+
+
+def run_counts(passages: DataFrame, cells: DataFrame, candidates: DataFrame, fact: DataFrame, stored: DataFrame, failure: DataFrame, rel: DataFrame, related: DataFrame, asked: DataFrame) -> DataFrame:
+    """(counter, n) of a run. stored: facts (ids) before it; related: relations (fact_a_id, fact_b_id) before it; candidates: of extract.statistics; asked: response_json (recorded) and call of replay.budgeted."""
+    once = lambda df, counter, n: df.agg(n.alias("n")).select(F.lit(counter).alias("counter"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    n, pair = F.count(F.lit(1)), ["fact_a_id", "fact_b_id"]
+    parts = (
+        once(passages.select("document_id", "page_index").distinct(), "pages", n), once(passages, "passages", n), once(cells.select("document_id", "page_index", "table_index").distinct(), "tables", n),
+        once(candidates, "candidates_seen", F.sum("seen")), once(fact, "facts_extracted", n), once(fact.join(stored, "id", "left_anti"), "facts_created", n), once(fact.join(stored, "id", "left_semi"), "facts_reused", n), once(failure, "failures", n),
+        once(rel.join(related, pair, "left_anti"), "relations_created", n), once(rel.join(related, pair, "left_semi"), "relations_updated", n), once(asked, "cache_hits", F.count("response_json")), once(asked, "provider_calls", F.count("call")),
+    )
+    return reduce(DataFrame.unionAll, parts)
+
+
+def write_json(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table of a report as a folder of JSON lines."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")

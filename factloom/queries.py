@@ -9,7 +9,7 @@ from factloom.functions import context as _context
 from factloom.functions import names, numbers, periods
 from factloom.operators import audit, compare, entities, extract, layout, registry
 from factloom.plans import pipeline, rendered, views
-from factloom.sources import documents, replay
+from factloom.sources import documents, replay, store
 from factloom.sources.stored import stored
 
 _NUMBERS = [
@@ -356,6 +356,79 @@ def measure_keys(spark, sf_dir):
     return p.select("p_partkey", F.concat(F.when(F.col("p_partkey") % 11 == 0, "7 ").otherwise(""), F.when(F.col("p_partkey") % 13 == 0, "₹").otherwise(F.col("p_type")), note).alias("label")).select("p_partkey", numbers.reused(_context.measure_key, "label").alias("key"))
 
 
+def evidence_store(spark, sf_dir):
+    """Evidence on customers' names: spans stored before, quotations that fail, ids that other evidence has."""
+    c = rendered.read(spark, sf_dir, "customer")
+    key, k = F.col("c_custkey").cast("string"), F.col("c_custkey") % 5
+    row = lambda df, id_, fact, passage, quote, n: df.select(id_.alias("id"), fact.alias("fact_id"), passage.alias("passage_id"), quote.alias("quote"), F.lit(100).alias("quote_start"), F.lit(100 + n).alias("quote_end"))
+    fact, place, quote = F.concat(F.lit("f"), key), F.concat(F.lit("p"), key), F.substring("c_name", 1, 8)
+    passages = c.select(place.alias("id"), F.col("c_name").alias("text"), F.lit(100).alias("char_start"))
+    new = row(c, F.concat(F.lit("e"), key), fact, F.when(k == 2, F.concat(F.lit("x"), key)).otherwise(place), F.when(k == 1, "elsewhere").otherwise(quote), 8)
+    before = row(c.where(k == 0), F.concat(F.lit("s"), key), fact, place, quote, 8).unionAll(row(c.where(k == 3), F.concat(F.lit("e"), key), F.lit("other"), place, F.substring("c_name", 1, 1), 1))
+    kept, lost = store.store_evidence(before, new, passages)
+    return kept.select("fact_id", "passage_id", F.when(F.col("id").startswith("evidence_"), "renamed").otherwise("kept").alias("outcome")).unionAll(lost.select("fact_id", "passage_id", "reason"))
+
+
+def finding_store(spark, sf_dir):
+    """Totals of orders as findings: some checked before, some with a line that isn't a stored fact."""
+    lines = rendered.read(spark, sf_dir, "lineitem")
+    fact = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    facts = lines.where("not (l_orderkey % 4 = 1 and l_linenumber = 1)").select(fact.alias("id")).distinct()
+    made = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(fact)).alias("fact_ids"))
+    finding = lambda mark: made.select(F.concat(F.lit(mark), F.col("l_orderkey").cast("string")).alias("id"), F.lit("component_total").alias("check_type"), F.lit("sum").alias("formula"), "fact_ids")
+    none = finding("n").limit(0).withColumn("fingerprint", F.lit(""))
+    before, _, _ = store.store_findings(none, finding("s").where("substr(id, 2) % 4 = 2"), facts)
+    kept, operands, lost = store.store_findings(before, finding("n"), facts)
+    n = operands.groupBy(F.col("finding_id").alias("id")).agg(F.count(F.lit(1)).alias("operands"), F.max("position").alias("last"))
+    return views.findings(kept, check_type="component_total").join(n, "id").select("id", "operands", "last", F.lit("").alias("missing")).unionAll(lost.select("id", F.lit(0).cast("bigint"), F.lit(None).cast("int"), F.array_join("missing", ",")))
+
+
+def recorded_answers(spark, sf_dir):
+    """The answer that a chain of two models has on record for each customer, from tables of an older layout and a newer batch."""
+    c = rendered.read(spark, sf_dir, "customer").select(F.col("c_name").alias("passage_hash"), (F.col("c_custkey") % 2 == 0).alias("even"))
+    row = lambda df, model, answer, at: df.select("passage_hash", F.lit(model).alias("model"), F.lit(1).alias("prompt_version"), F.lit(answer).alias("response_json"), F.lit(at).alias("created_at"))
+    old = store.migrated({"answers": row(c, "a", "old", 1)}, 2)["answers"]
+    new = row(c.where("even"), "a", "a", 2).unionAll(row(c, "b", "first", 3)).unionAll(row(c, "b", "second", 4)).withColumn("schema_version", F.lit(2))
+    return replay.recorded(store.store_answers(old, new), ("a", "b"), schema_version=2, prompt_version=1)
+
+
+def fact_details(spark, sf_dir):
+    """Facts of report A with their normalized values, and the page of their evidence."""
+    p = rendered.two_reports(spark, sf_dir)
+    facts, _ = _facts(p)
+    seen = views.evidence(documents.evidence(facts, facts.limit(0)).withColumn("id", F.col("fact_id")), p, document="report-a").select(F.col("fact_id").alias("id"), "page_index", "quote_start")
+    return views.fact_details(views.facts(facts, document="report-a")).join(seen, "id").select(F.col("subject_id").alias("nation"), F.col("context.period.label").alias("fiscal_year"), F.col("normalized_value").cast("double").alias("normalized"), "page_index", (F.col("confidence") <= F.least("extraction_confidence", "normalization_confidence")).alias("least"))
+
+
+def stored_entities(spark, sf_dir):
+    """Suppliers as subjects of facts, found by id, by name in other letters, or new."""
+    s = rendered.read(spark, sf_dir, "supplier")
+    key, k = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 3
+    known = s.select(F.concat(F.lit("s"), key).alias("id"), F.col("s_name").alias("canonical_name"), F.lit("company").alias("entity_type"), F.lit(1.0).alias("confidence"), F.lit("ready").alias("review_state"))
+    name = F.when(k == 1, F.upper("s_name")).when(k == 2, F.concat(F.lit("New "), "s_name")).otherwise("Any Name")
+    subjects = s.select(key.alias("fact_id"), F.when(k == 0, F.concat(F.lit("s"), key)).alias("subject_id"), name.alias("name"), F.lit("company").alias("entity_type"), F.lit(0.9).alias("confidence"), F.lit("ready").alias("review_state"))
+    found, all_ = store.store_entities(known, subjects)
+    return found.join(all_.select(F.col("id").alias("entity_id"), "canonical_name", "confidence"), "entity_id").select("fact_id", F.when(F.col("entity_id").startswith("entity_"), "new").otherwise(F.col("entity_id")).alias("entity"), "canonical_name", "confidence")
+
+
+def alias_evidence(spark, sf_dir):
+    """Evidence of the names that orders give to their customers, if the order's status is one of a sure match."""
+    o = rendered.read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("entity_id"), F.concat(F.lit("Buyer "), (F.col("o_orderkey") % 3).cast("string")).alias("name"), F.when(F.col("o_orderkey") % 4 == 0, "needs_review").when(F.col("o_orderkey") % 4 == 1, "identifier").otherwise("exact_name").alias("method"))
+    got = store.alias_evidence(o, o.select(F.col("id").alias("mention_id"), F.concat(F.lit("ev"), "id").alias("evidence_id")))
+    return got.select("entity_id", "alias", F.array_join("evidence_ids", ",").alias("evidence_ids"))
+
+
+def run_counts(spark, sf_dir):
+    """Counters of a run over both reports, after one over report A alone with all its answers recorded."""
+    p, cells = rendered.two_reports(spark, sf_dir), stored(rendered.grids(spark, sf_dir), "cells")
+    facts, lost = _facts(p)
+    rel = stored(compare.relations(compare.pairs(facts, cross_document=True)).select("fact_a_id", "fact_b_id"), "pairs")
+    first = facts.where("document_id = 'report-a'").select("id")
+    cached = p.where("document_id = 'report-a'").select(F.sha2("text", 256).alias("passage_hash"), F.lit("{}").alias("response_json"), F.lit("m").alias("model"))
+    asked, _ = replay.budgeted(p, cached, budget=20)
+    return views.run_counts(p, cells, extract.statistics(p), facts, first, lost, rel, rel.limit(0), asked)
+
+
 _VALUE = """WITH v AS (
   SELECT n_name AS nation, n_nationkey AS rule, year(o_orderdate) + CASE WHEN month(o_orderdate) >= 4 THEN 1 ELSE 0 END AS fy, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
@@ -409,12 +482,23 @@ s AS (SELECT *, CASE k WHEN 0 THEN y WHEN 1 THEN y - 1 WHEN 4 THEN y WHEN 5 THEN
 SELECT o_orderkey, CASE WHEN k = 4 THEN 'Q3 ' ELSE '' END || 'FY ' || a || '-' || lpad(CAST(b % 100 AS VARCHAR), 2, '0') AS label, CASE k WHEN 4 THEN a || '-10-01' ELSE a || '-04-01' END AS start_date, CASE k WHEN 4 THEN a || '-12-31' ELSE b || '-03-31' END AS end_date, CASE WHEN k = 2 THEN d END AS as_of,
   CASE k WHEN 2 THEN 'point_in_time' WHEN 3 THEN NULL WHEN 4 THEN 'quarter' ELSE 'fiscal_year' END AS kind FROM s""",
     "measure_keys": "WITH k AS (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') END AS t, CASE p_partkey % 5 WHEN 1 THEN 'others' WHEN 3 THEN 'and_more_percentage' ELSE '' END AS n, p_partkey % 11 = 0 AS seven FROM part), j AS (SELECT p_partkey, concat_ws('_', CASE WHEN seven THEN 'measure_7' END, nullif(t, ''), nullif(n, '')) AS key FROM k) SELECT p_partkey, CASE WHEN key = '' THEN 'unnamed_measure' ELSE key END AS key FROM j",
+    "evidence_store": """WITH k AS (SELECT CAST(c_custkey AS VARCHAR) AS c, c_custkey % 5 AS k FROM customer)
+SELECT 'f' || c AS fact_id, CASE WHEN k = 2 THEN 'x' ELSE 'p' END || c AS passage_id, CASE k WHEN 1 THEN 'grounding: the quotation was not found at its place' WHEN 2 THEN 'missing passage' WHEN 3 THEN 'renamed' ELSE 'kept' END AS outcome FROM k UNION ALL SELECT 'other', 'p' || c, 'kept' FROM k WHERE k = 3""",
+    "finding_store": "WITH k AS (SELECT l_orderkey AS o, count(DISTINCT l_linenumber) AS n, l_orderkey % 4 = 1 AND bool_or(l_linenumber = 1) AS lost FROM lineitem GROUP BY 1) SELECT CASE WHEN o % 4 = 2 THEN 's' ELSE 'n' END || o AS id, CASE WHEN lost THEN 0 ELSE n END AS operands, CASE WHEN NOT lost THEN CAST(n - 1 AS INTEGER) END AS last, CASE WHEN lost THEN o || ':1' ELSE '' END AS missing FROM k",
+    "recorded_answers": "SELECT c_name AS passage_hash, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'second' END AS response_json, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS model FROM customer",
+    "fact_details": _VALUE + "SELECT nation, label AS fiscal_year, CAST(a * 10000 AS DOUBLE) AS normalized, 0 AS page_index, true AS least FROM w",
+    "stored_entities": "SELECT CAST(s_suppkey AS VARCHAR) AS fact_id, CASE WHEN s_suppkey % 3 = 2 THEN 'new' ELSE 's' || s_suppkey END AS entity, CASE WHEN s_suppkey % 3 = 2 THEN 'New ' ELSE '' END || s_name AS canonical_name, CASE WHEN s_suppkey % 3 = 2 THEN 0.9 ELSE 1.0 END::DOUBLE AS confidence FROM supplier",
+    "alias_evidence": "SELECT 'c' || o_custkey AS entity_id, 'Buyer ' || (o_orderkey % 3) AS alias, array_to_string(list_sort(list(DISTINCT 'ev' || o_orderkey)), ',') AS evidence_ids FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY ALL",
+    "run_counts": _VALUE + """, n AS (SELECT count(*) AS n FROM w), p AS (SELECT count(*) AS p FROM w JOIN w AS o USING (nation))
+SELECT counter, CAST(CASE counter WHEN 'pages' THEN 2 WHEN 'passages' THEN 2 * n WHEN 'tables' THEN (SELECT count(DISTINCT nation) FROM w) WHEN 'candidates_seen' THEN 2 * n WHEN 'facts_extracted' THEN 2 * n WHEN 'facts_created' THEN n WHEN 'facts_reused' THEN n WHEN 'failures' THEN 0 WHEN 'relations_created' THEN p WHEN 'relations_updated' THEN 0 WHEN 'cache_hits' THEN n WHEN 'provider_calls' THEN least(n, 20) END AS BIGINT) AS n
+FROM n, p, unnest(['pages', 'passages', 'tables', 'candidates_seen', 'facts_extracted', 'facts_created', 'facts_reused', 'failures', 'relations_created', 'relations_updated', 'cache_hits', 'provider_calls']) AS t(counter)""",
 }
 
 _ALL = (
     number_golden, range_golden, date_golden, period_golden, key_golden, number_roundtrip, relations_linked, relation_types, period_reconciled, evidence_verified, growth_checks, component_totals, table_cells_to_facts,
     candidate_counts, document_dedupe, repeated_furniture, predicate_registry, entity_resolution, entity_resolution_near, incremental_equals_full, facts_page, document_counts, interleaved_facts, reprocess_isolation, passage_layout, model_replay_grounding, name_keys,
     table_relations, repeated_findings, component_totals_open, context_fields, director_records, reporting_entities, entity_merge, status_updates, text_rules, period_forms, measure_keys,
+    evidence_store, finding_store, recorded_answers, fact_details, stored_entities, alias_evidence, run_counts,
 )
 
 

@@ -10,8 +10,15 @@ MAX_BYTES = 100 << 20
 
 
 def discover(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """PDF files under the paths: path, length, content, content_hash, document_id, reason (why not usable, else null). One row per path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{pdf,PDF}").load(paths).dropDuplicates(["path"])
+    """PDF files under the paths: path, length, content, content_hash, document_id, reason (why not usable, else null). One row per path.
+
+    A path that is missing, is another kind of file or holds no PDF file is an error.
+    """
+    found = lambda where: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(where)
+    for path in paths:
+        if found(path).select("path").isEmpty():
+            raise ValueError(f"no PDF files at {path}")
+    files = found(paths).dropDuplicates(["path"])
     digest = F.sha2("content", 256)
     reason = F.when(F.col("length") == 0, "empty file").when(F.col("length") > MAX_BYTES, "larger than 100 MiB").when(F.instr(F.substring("content", 1, 1024).cast("string"), "%PDF-") == 0, "no PDF header")
     return files.select("path", "length", "content", digest.alias("content_hash"), F.concat(F.lit("doc_"), F.substring(digest, 1, 24)).alias("document_id"), reason.alias("reason"))
