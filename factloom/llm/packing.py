@@ -114,6 +114,17 @@ class TextEncoder:
         return out
 
 
+#: Encoders of this worker, by tokenizer.
+_encoders: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
+    """A worker's encoder for all of its tasks, with what its cache holds (CACHE_BYTES at most)."""
+    if path not in _encoders:
+        _encoders[path] = TextEncoder(path)
+    return _encoders[path]
+
+
 def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     """counts[l]: pieces of length l. Bins as (lengths, longest first; how many such bins)."""
     left = counts.astype(np.int64).copy()
@@ -176,7 +187,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
     names = ["id", "piece", "start", "length", "ids_crc32", "ids", "part", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part = TextEncoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encode, seen, part = encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         step = capacity * 4
         for batch in batches:
