@@ -13,10 +13,12 @@ these numbers to bins, so no group of equal lengths meets in one task.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +31,33 @@ from pyspark.sql import functions as F
 from factloom.llm._io import materialize, picked, release
 from factloom.llm._text import slices
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
 END_ID = 0
 #: Units and ids that a worker keeps, in bytes with what their objects take.
 CACHE_BYTES = 128 << 20
-CACHED_BYTES = 48
+CACHED_LENGTH = 48
+#: What a unit takes besides its letters.
+UNIT_BYTES = 220
 
 
 #: Runs that the tokenizer's own word pattern also cuts at both ends: Latin letters, one digit, ASCII marks but the apostrophe.
-_UNITS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-_SPACE = b" \t\n\r\x0b\x0c"
+_UNITS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Texts of such units and ASCII white space.
+_PLAIN = re.compile(r"[\t-\r -&(-~ß-öø-ÿ]*")
+#: What the tokenizer does to a text before it looks for words, and how it cuts them, if the units above are to be words.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> list[tuple[str, str]]:
+    """(byte, letter) where byte-level vocabularies write a byte of a unit, read as Latin-1, by another letter."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    inside = {*"ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ".encode()}
+    return [(chr(b), chr(256 + i)) for i, b in enumerate(hidden) if b in inside]
 
 
 class TextEncoder:
@@ -56,22 +74,43 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._lean = self._lean_of(self._tokenizer)
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[n for word, n in vocabulary.items() if word.endswith("</w>")]] = True
-        self._cache: dict[bytes, bytes] = {}
+        self._letters = _byte_letters()
+        self._cache: dict[str, bytes] = {}
         self._held = 0
 
-    def _runs(self, runs: list[bytes]) -> Iterator[bytes]:
+    @staticmethod
+    def _lean_of(tokenizer: Tokenizer) -> Tokenizer | None:
+        """The same model without normalising and looking for words, which plain units don't need; None if this tokenizer isn't of that form."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        form = json.loads(tokenizer.to_str())
+        cuts = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+        done = (form["normalizer"] or {}).get("normalizers", [])
+        if [c["type"] for c in cuts] != ["Split", "ByteLevel"] or cuts[0]["pattern"] != {"Regex": _WORDS} or cuts[1]["add_prefix_space"] or [d["type"] for d in done] != ["NFC", "Replace", "Lowercase"]:
+            return None
+        lean = Tokenizer(tokenizer.model)
+        lean.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        return lean
+
+    def _runs(self, runs: list[str]) -> Iterator[bytes]:
         for at in range(0, len(runs), 4096):
-            for e in self._tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in runs[at : at + 4096]], add_special_tokens=False):
+            for e in self._tokenizer.encode_batch_fast(runs[at : at + 4096], add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
 
-    def _units(self, units: list[bytes]) -> Iterator[bytes]:
+    def _units(self, units: list[str]) -> Iterator[bytes]:
         """Many units go as one text: each is one word of the tokenizer, whose last id has the mark of a word's end."""
-        for at in range(0, len(units), 4096):
-            part = units[at : at + 4096]
-            ids = np.array(self._tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+        for at in range(0, len(units), 512):
+            part = units[at : at + 512]
+            ids = np.zeros(0, "<u4")
+            if self._lean:
+                text = " ".join(part).encode().decode("latin-1")
+                for byte, letter in self._letters:
+                    text = text.replace(byte, letter)
+                ids = np.array(self._lean.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self._ends[ids]) + 1
             if len(cut) != len(part):  # another tokenizer
                 yield from self._runs(part)
@@ -82,35 +121,38 @@ class TextEncoder:
                 lo = hi
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        parts: list[list[bytes]] = []
-        whole: set[bytes] = set()
-        for text in texts:
+        parts: list[list[str]] = []
+        whole: set[str] = set()
+        for data in texts:
+            text = data.decode("utf-8", "replace")
             low = text.lower()
-            units = _UNITS.findall(low)
-            if b"<|" in low or sum(map(len, units)) != len(low.translate(None, _SPACE)):
-                units = []
-                for run in text.split():
-                    found = _UNITS.findall(run.lower())
-                    if b"<|" in run or sum(map(len, found)) != len(run):
-                        whole.add(run)
-                        units.append(run)
-                    else:
-                        units += found
+            if b"<|" not in data and _PLAIN.fullmatch(low):
+                parts.append(_UNITS.findall(low))
+                continue
+            units: list[str] = []
+            for raw in data.split():
+                run = raw.decode("utf-8", "replace")
+                low = run.lower()
+                if "<|" in run or not _PLAIN.fullmatch(low):
+                    whole.add(run)
+                    units.append(run)
+                else:
+                    units += _UNITS.findall(low)
             parts.append(units)
-        need = {u for units in parts for u in units}
+        need = set().union(*parts)
         new = need.difference(self._cache)
         if self._held > CACHE_BYTES:
             self._cache.clear()
             self._held, new = 0, need
-        self._held += sum(map(len, new)) + 190 * len(new)
+        self._held += sum(map(len, new)) + UNIT_BYTES * len(new)
         runs, plain = list(new & whole), list(new - whole)
         self._cache.update(zip(runs, self._runs(runs), strict=True))
         self._cache.update(zip(plain, self._units(plain), strict=True))
         out = [b"".join(map(self._cache.__getitem__, units)) for units in parts]
         for u in new:
-            if len(u) > CACHED_BYTES:
+            if len(u) > CACHED_LENGTH:
                 del self._cache[u]
-                self._held -= len(u) + 190
+                self._held -= len(u) + UNIT_BYTES
         return out
 
 
