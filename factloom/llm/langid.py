@@ -24,7 +24,7 @@ SAMPLE_BYTES = 4 << 20
 #: Sampled bytes of all languages together; with many languages each gets an equal part of them.
 ALL_BYTES = 64 << 20
 MAX_LANGUAGES = 256
-#: Bytes that a worker's cache of word lengths may take, about; longer words aren't kept.
+#: Bytes that a worker's cache of word lengths may take, about, where the caller names none; longer words aren't kept.
 CACHE_BYTES = 96 << 20
 CACHED_WORD = 64
 
@@ -65,12 +65,12 @@ class PpmTree:
 
 
 class LanguageScorer:
-    def __init__(self, trees: dict[str, PpmTree]) -> None:
+    def __init__(self, trees: dict[str, PpmTree], cache_bytes: int = CACHE_BYTES) -> None:
         self.languages = sorted(trees)
         self._trees = [trees[k] for k in self.languages]
         self._order = max((t.order for t in self._trees), default=0)
         #: Entries of a cache: a dict's place, a short key and a number for each language.
-        self._most = max(1, CACHE_BYTES // 2 // (250 + 8 * len(trees)))
+        self._most = max(1, cache_bytes // 2 // (250 + 8 * len(trees)))
         self._steps: dict[bytes, np.ndarray] = {}
         self._index: dict[bytes, int] = {}
         self._lengths = np.zeros((1024, len(self._trees)))
@@ -160,12 +160,12 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAM
     return {k: PpmTree(w, order) for k, w in words.items() if w}
 
 
-def language(text: Column, trees: dict[str, PpmTree]) -> Column:
-    """Struct of lang_pred and score of a text column. The trees are bounded by the sample that they were fitted on."""
+def language(text: Column, trees: dict[str, PpmTree], cache_bytes: int = CACHE_BYTES) -> Column:
+    """Struct of lang_pred and score of a text column. The trees are bounded by the sample that they were fitted on; the cache changes time and memory only."""
     sent = SparkSession.active().sparkContext.broadcast(trees)
 
     def judge():
-        scorer = LanguageScorer(sent.value)
+        scorer = LanguageScorer(sent.value, cache_bytes)
 
         def one(texts: pa.Array) -> pa.Array:
             texts = texts.cast(pa.binary())

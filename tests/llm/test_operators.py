@@ -51,10 +51,23 @@ def test_urls(spark):
 def test_encoder_is_exact():
     path = public_tokenizers.path(packing.TOKENIZER)
     plain, encode = Tokenizer.from_file(path), packing.TextEncoder(path)
-    texts = ["it's a test, isn't it? <|endoftext|>abc <|ENDOFTEXT|> I'LL", "naïve étude Å Å İ ß ² Ⅷ ×÷ a×b", "日本語 テスト,abc.def", "", "x y\x1cz\x85w  \xa0", "don't'ss 12abc34 _x_ é,è.ü!Ö?"]
+    texts = ["it's a test, isn't it? <|endoftext|>abc <|ENDOFTEXT|> I'LL", "naïve étude Å Å İ ß ² Ⅷ ×÷ a×b", "日本語 テスト,abc.def", "", "x y\x1cz\x85w  \xa0", "don't'ss 12abc34 _x_ é,è.ü!Ö?", "ßà í Àß ÍÀ \u212a \u212bb µª", "a\x85b\xa0c\u2003d", "x" * 60 + " é" * 600 + " " + " ".join(f"w{n}í" for n in range(1500))]
     assert [np.frombuffer(b, "<u4").tolist() for b in encode([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_of_another_tokenizer():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.TextEncoder._lean_of(Tokenizer.from_file(path)) is None
+    assert packing.TextEncoder._lean_of(Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))) is not None
+
+
+def test_language_cache_changes_no_result():
+    trees = {k: langid.PpmTree(Counter(w.encode() for w in words.split()), 4) for k, words in (("de", "der die das und nicht ein haus"), ("en", "the and not a house of words"))}
+    texts = [b"the house and words", b"das haus und die worte", b"", b"12 34", b"houses " * 50 + b"haus"]
+    small, large = langid.LanguageScorer(trees, 1), langid.LanguageScorer(trees)
+    assert [small.predict(t) for t in texts] == [large.predict(t) for t in texts]
+
+
 def test_packing(spark, odd, empty):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     got = packing.pack(docs, capacity=256, keep_ids=True).collect()
