@@ -15,6 +15,8 @@ from factloom.llm._io import materialize, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Languages that go on; und never does.
 LEAST_POSTERIOR = 0.5
+#: Bytes of a worker's cache of word lengths: the executors hold the pipeline's other stages too.
+CACHE_BYTES = 48 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     docs = docs.select(*COLUMNS)
     trees = langid.fit(langid.training_rows(docs))
-    found = langid.language(docs["text"], trees)
+    found = langid.language(docs["text"], trees, CACHE_BYTES)
     return docs.where((found["lang_pred"] != "und") & (found["score"] >= LEAST_POSTERIOR))
 
 
