@@ -17,6 +17,8 @@ def main(arguments: list[str] | None = None) -> int:
     link.add_argument("passages")
     link.add_argument("out")
     link.add_argument("--cross-document-only", action="store_true")
+    link.add_argument("--tables", help="boxes of the pages' tables; passages need boxes then")
+    link.add_argument("--cells", help="cells of the pages' tables, whose numbers become facts")
     status = commands.add_parser("status", help="count relations by type")
     status.add_argument("out")
     report = commands.add_parser("report", help="write a document's facts, relations and failures as JSON lines")
@@ -26,7 +28,8 @@ def main(arguments: list[str] | None = None) -> int:
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if given.command == "link":
-        result = pipeline.run(spark.read.parquet(given.passages), cross_document=given.cross_document_only)
+        tables, cells = (path and spark.read.parquet(path) for path in (given.tables, given.cells))
+        result = pipeline.run(spark.read.parquet(given.passages), cross_document=given.cross_document_only, tables=tables, cells=cells)
         for name in ("facts", "failures", "relations", "findings"):
             getattr(result, name).write.mode("overwrite").parquet(f"{given.out}/{name}")
     if given.command == "report":

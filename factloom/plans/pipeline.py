@@ -23,7 +23,7 @@ def run(passages: DataFrame, defaults: DataFrame | None = None, cross_document:
     """passages: schemas.PASSAGES and subject_id; without that column the subject is what the document reports on.
 
     With tables (boxes of each page's tables) also boxes, and numbers in tables are no prose
-    facts; with cells (schemas.CELLS) the tables' numbers are facts too, and totals are checked.
+    facts; with cells (schemas.CELLS) the tables' numbers are facts too. Totals aren't checked here (see audit.totals).
     """
     if "subject_id" not in passages.columns:
         passages = extract.with_subjects(passages, extract.reporting_entity(passages.select("document_id", "page_index", "text")))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom import queries
+from factloom import cli, queries
 from factloom.functions import context, names, numbers
 from factloom.operators import compare, entities, extract, layout
 from factloom.plans import pipeline
@@ -232,3 +232,17 @@ def test_cells_become_facts_with_evidence(spark):
         assert text[r["quote_start"] - 100 : r["quote_end"] - 100] == r["quote"] and r["subject_id"] == "s"
     assert {r["quote"] for r in facts.collect()} == {"7,225", "8,142", "99"} and lost.count() == 1
     assert spark.createDataFrame(facts.collect(), FACTS).schema == spark.createDataFrame([], FACTS).schema
+
+
+def test_command_line_links_tables(spark, tmp_path):
+    text = "₹ Cr FY23 FY24 Revenue 7,225 8,142"
+    spark.createDataFrame([(f"p{i}", f"d{i}", 0, 0, "body", text, 0, "s", 0.0, 0.0, 10.0, 10.0) for i in range(2)], "id string, document_id string, page_index int, reading_order int, role string, text string, char_start int, subject_id string, x0 double, y0 double, x1 double, y1 double").write.parquet(f"{tmp_path}/passages")
+    grid = [["₹ Cr", "FY23", "FY24"], ["Revenue", "7,225", "8,142"]]
+    spark.createDataFrame([(f"d{i}", 0, 0, r, c, grid[r][c]) for i in range(2) for r in range(2) for c in range(3)], CELLS).write.parquet(f"{tmp_path}/cells")
+    spark.createDataFrame([(f"d{i}", 0, 0.0, 0.0, 10.0, 10.0) for i in range(2)], "document_id string, page_index int, x0 double, y0 double, x1 double, y1 double").write.parquet(f"{tmp_path}/tables")
+    assert cli.main(["link", f"{tmp_path}/passages", f"{tmp_path}/out", "--cross-document-only", "--tables", f"{tmp_path}/tables", "--cells", f"{tmp_path}/cells"]) == 0
+    facts = spark.read.parquet(f"{tmp_path}/out/facts").collect()
+    assert sorted((r["document_id"], r["predicate_key"], r["quote"]) for r in facts) == [(d, "revenue", q) for d in ("d0", "d1") for q in ("7,225", "8,142")]
+    assert all(text[r["quote_start"] : r["quote_end"]] == r["quote"] for r in facts)
+    relations = spark.read.parquet(f"{tmp_path}/out/relations").groupBy("relation_type").count().collect()
+    assert {r["relation_type"]: r["count"] for r in relations} == {"corroborates": 2, "reconciled_by_period": 2}
