@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from factloom.llm import subword
+from factloom.llm._io import release
 
 FEATURES = subword.Features(table="raw", sizes=(2, 3, 4), bigrams=True)
 #: Rows sampled for fitting, of label 0 and 1, and bytes of their texts.
@@ -16,7 +17,10 @@ THRESHOLD = 0.3
 def fit(docs: DataFrame, labels: DataFrame) -> subword.Model:
     """Learns from a sample of labelled rows outside the held-out fold. Without any, all scores are near 0.5."""
     texts, y = subword.labelled(docs, labels, "quality", SAMPLE_ROWS, SAMPLE_BYTES)
-    return subword.train(texts, y, FEATURES, epochs=8, rate=4.0, warm=0)
+    model = subword.train(texts, y, FEATURES, epochs=8, rate=4.0, warm=0)
+    del texts
+    release()
+    return model
 
 
 def score_quality(docs: DataFrame, model: subword.Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -24,6 +24,8 @@ HELD_OUT_FOLDS = 5
 LONG_SHARE = 16
 #: Bytes of text that are scored at once.
 SCORED_BYTES = 1 << 20
+#: Bytes of text whose features are made at once in fitting, or of one longer text: that takes some 240 times as much for a moment.
+FITTED_BYTES = 1 << 17
 #: The bigram of any word and itself.
 _AGAIN = U64(0xA5A5A5A5A5A5A5A5)
 
@@ -108,19 +110,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
+def _packed(bucket: np.ndarray, times: np.ndarray, bits: int) -> np.ndarray:
+    """A number for each feature, its repeats above the bits of its bucket: 32 bits unless one repeats more often than fits."""
+    kind = np.uint32 if not len(times) or times.max() < 1 << 32 - bits else U64
+    return (times.astype(U64) << U64(bits) | bucket.astype(U64)).astype(kind)
+
+
+def _shares(packed: np.ndarray, bits: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, shares of their bags' averages) of packed features; of: features of each one's bag, with repeats."""
+    kind = packed.dtype.type
+    return (packed & kind((1 << bits) - 1)).astype(np.int64), ((packed >> kind(bits)) / of).astype(np.float32)
+
+
 class _Trainer:
     """Embeddings E and softmax weights, class 0 and 1."""
 
     def __init__(self, features: Features, dim: int, seed: int) -> None:
-        self.rng = np.random.default_rng(seed)
+        self.rng, self.bits = np.random.default_rng(seed), features.bits
         self.e = self.rng.uniform(-1 / dim, 1 / dim, (1 << features.bits, dim)).astype(np.float32)
         self.w = self.rng.uniform(-0.1, 0.1, (dim, 2)).astype(np.float32)
         self.b = np.zeros(2, np.float32)
 
-    def batch(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rate: float) -> None:
-        """bags: (buckets, their shares of the average, which sum to 1)."""
+    def batch(self, bags: list[tuple[np.ndarray, float]], labels: np.ndarray, rate: float) -> None:
+        """bags: (packed features, how many there are with repeats)."""
         long = np.array([len(b) for b, _ in bags])
-        ids, share = np.concatenate([b for b, _ in bags]), np.concatenate([s for _, s in bags]).astype(np.float32)
+        ids, share = _shares(np.concatenate([b for b, _ in bags]), self.bits, np.repeat([n for _, n in bags], long))
         at = np.cumsum(long) - long
         hidden = np.add.reduceat(self.e[ids] * share[:, None], at)
         out = hidden @ self.w + self.b
@@ -141,28 +155,31 @@ def train(texts: list[bytes], labels: np.ndarray, features: Features, dim: int =
     trainer = _Trainer(features, dim, seed)
     if not len(texts):
         return trainer.model(features)
-    parts: list[tuple[np.ndarray, ...]] = []  # of 64 texts: buckets, shares, edges of the non-empty bags, their texts
-    for lo in range(0, len(texts), 64):
-        part = texts[lo : lo + 64]
-        bag, bucket, row, _ = features.bags(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]))
+    parts: list[tuple[np.ndarray, ...]] = []  # of runs of texts: packed features, edges of the non-empty bags, their features with repeats, their texts
+    for lo, _, data, offsets in slices(pa.array(texts, pa.large_binary()), FITTED_BYTES):
+        bag, bucket, row, _ = features.bags(data, offsets)
         if not len(bag):
             continue
         key = np.sort((bag << features.bits) + bucket)
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         times = np.diff(np.r_[new, len(key)])
-        bag, bucket = key[new] >> features.bits, (key[new] & ((1 << features.bits) - 1)).astype(np.int32)
-        share = (times / np.bincount(bag, times, len(row))[bag]).astype(np.float32)
+        bag, bucket = key[new] >> features.bits, key[new] & ((1 << features.bits) - 1)
         edge = np.flatnonzero(np.r_[True, bag[1:] != bag[:-1], True])
-        parts.append((bucket, share, edge, lo + row[bag[edge[:-1]]]))
+        bags = bag[edge[:-1]]
+        parts.append((_packed(bucket, times, features.bits), edge, np.bincount(bag, times, len(row))[bags], lo + row[bags]))
     y = np.asarray(labels)
     for epoch in range(epochs if parts else 0):
         now = trainer.model(features)
         bags, texts_of = [], []
-        for bucket, share, edge, text in parts:
-            level = np.add.reduceat(now.weight[bucket] * share, edge[:-1]) if epoch >= warm else trainer.rng.random(len(text))
+        for packed, edge, total, text in parts:
+            if epoch >= warm:
+                bucket, share = _shares(packed, features.bits, np.repeat(total, np.diff(edge)))
+                level = np.add.reduceat(now.weight[bucket] * share, edge[:-1])
+            else:
+                level = trainer.rng.random(len(text))
             last = np.flatnonzero(np.r_[text[1:] != text[:-1], True])
             for k in np.lexsort((level, text))[last]:
-                bags.append((bucket[edge[k] : edge[k + 1]], share[edge[k] : edge[k + 1]]))
+                bags.append((packed[edge[k] : edge[k + 1]], total[k]))
             texts_of.append(text[last])
         target = y[np.concatenate(texts_of)]
         order = trainer.rng.permutation(len(bags))

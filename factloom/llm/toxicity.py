@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 from factloom.llm import subword
+from factloom.llm._io import release
 
 SEGMENT = 8
 FEATURES = subword.Features(table="lower", sizes=(3, 4, 5), segment=SEGMENT)
@@ -22,7 +23,10 @@ THRESHOLD = 0.5
 def fit(docs: DataFrame, labels: DataFrame) -> subword.Model:
     """Learns from a sample of labelled rows outside the held-out fold. Without any, all scores are near 0.5."""
     texts, y = subword.labelled(docs, labels, "toxic", SAMPLE_ROWS, SAMPLE_BYTES)
-    return subword.train(texts, y, FEATURES, epochs=30, rate=5.0, batch=64, warm=4)
+    model = subword.train(texts, y, FEATURES, epochs=30, rate=5.0, batch=64, warm=4)
+    del texts
+    release()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: subword.Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -285,6 +288,44 @@ def test_long_labelled_texts_leave_the_others_in(spark):
     assert [len(t) for t in sample([(i, "x" * 3900) for i in range(5)])[0]] == [3900]
 
 
+_FITTED = """
+import re
+import tracemalloc
+
+import numpy as np
+
+from factloom.llm import subword, toxicity
+
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) << 10
+letters = np.random.default_rng(0).integers(97, 123, (300, 10000), dtype=np.uint8)
+letters[:, ::8] = 32
+texts = [x.tobytes() for x in letters]
+subword.labelled = lambda *_: (list(texts), np.arange(300) % 2)
+before = held()
+toxicity.fit(None, None)
+after = held()
+tracemalloc.start()
+toxicity.fit(None, None)
+print((after - before) / letters.size, tracemalloc.get_traced_memory()[1] / letters.size)
+"""
+
+
+def test_a_fit_gives_the_drivers_memory_back():
+    """Bytes a byte of text that stay in the process, and that the fit takes at once."""
+    said = subprocess.run([sys.executable, "-c", _FITTED], capture_output=True, text=True, check=True, timeout=300, cwd=os.path.dirname(corpus_pipeline.__file__)).stdout
+    stays, taken = map(float, said.split())
+    assert stays < 15 and taken < 30, said
+
+
+def test_packed_features():
+    bucket, times = np.array([0, 5, 262143]), np.array([1, 7, 16383])
+    for most, kind in ((16383, np.uint32), (16384, np.uint64)):  # the largest that fits beside 18 bits, and one more
+        times[2] = most
+        packed = subword._packed(bucket, times, 18)
+        got, share = subword._shares(packed, 18, np.full(3, float(times.sum())))
+        assert packed.dtype == kind and (got == bucket).all() and (share == (times / times.sum()).astype(np.float32)).all()
+
+
 def test_subwords_generalise():
     rng = np.random.default_rng(0)
     common = ["the", "river", "house", "green", "walked", "slowly", "market", "music"]
