@@ -246,3 +246,32 @@ def test_command_line_links_tables(spark, tmp_path):
     assert all(text[r["quote_start"] : r["quote_end"]] == r["quote"] for r in facts)
     relations = spark.read.parquet(f"{tmp_path}/out/relations").groupBy("relation_type").count().collect()
     assert {r["relation_type"]: r["count"] for r in relations} == {"corroborates": 2, "reconciled_by_period": 2}
+
+
+def test_near_keys_equal_brute_force(spark):
+    draw = random.Random(7)
+    word = lambda n: "".join(draw.choice("abc 019") for _ in range(n))
+    clean = lambda t: " ".join(t.split())
+    ckeys = sorted({clean(f"{word(draw.randrange(2, 10))} {word(draw.randrange(3, 60))}") for _ in range(60)} - {""})
+
+    def changed(t):
+        for _ in range(draw.randrange(0, 12)):
+            at = draw.randrange(len(t) + 1)
+            t = draw.choice([t[:at] + t[at + 1 :], t[:at] + draw.choice("abz") + t[at:]])
+        return clean(" ".join(draw.sample(t.split(), len(t.split()))) if draw.random() < 0.3 else t)
+
+    keys = sorted({k for c in ckeys for k in (changed(c), changed(c), changed(c)) if len(k) >= 5})
+    want = {(a, b): s for a in keys for b in ckeys if (s := entities.similarity(a, b)) >= entities.REVIEW}
+    got = entities.near_keys(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(k,) for k in ckeys], "key string")).collect()
+    assert {(r["key"], r["ckey"]): r["score"] for r in got} == want and len(got) == len(want)
+    few = {max(len(a), len(b)) < 24 for a, b in want}
+    assert few == {True, False} and len(want) > 60
+
+
+def test_names_alike_in_most_letters_are_not_all_compared(spark, monkeypatch):
+    monkeypatch.setattr(entities, "name_score", lambda a, b: F.lit(entities.REVIEW))
+    row = "id string, {} string, entity_type string, identifiers map<string,string>"
+    catalogue = spark.createDataFrame([(f"s{k}", f"Supplier#{k * 7919 % 10**9:09d}", "company", {}, []) for k in range(1, 400)], row.format("canonical_name") + ", aliases array<string>")
+    mentions = spark.createDataFrame([(str(k), f"Zupplier#{k * 7919 % 10**9:09d}", "company", {}) for k in range(1, 101)], row.format("name"))
+    got = entities.resolve(mentions, catalogue).selectExpr("array_contains(candidates, 's' || id) AS own", "size(candidates) AS n").collect()
+    assert all(r["own"] for r in got) and sum(r["n"] for r in got) < 4000  # of 39,900 pairs
