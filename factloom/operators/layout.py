@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import statistics
+from collections import namedtuple
+from collections.abc import Iterator
+from itertools import chain, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +31,13 @@ def furniture_key(text: Column) -> Column:
 
 def roles(blocks: DataFrame) -> DataFrame:
     """Cleaned blocks with their role: edge blocks whose key two pages or more share are headers or footers."""
-    b = blocks.withColumns({"text": clean(F.col("text")), "key": furniture_key(F.col("text"))}).where("text <> '' and x1 > x0 and y1 > y0")
+    b = blocks.withColumn("text", clean(F.col("text"))).where("text <> '' and x1 > x0 and y1 > y0")
     top, bottom = F.col("y1") <= EDGE * F.col("page_height"), F.col("y0") >= (1 - EDGE) * F.col("page_height")
-    often = b.where(top | bottom).groupBy("document_id", "key").agg(F.count_distinct("page_index").alias("pages")).where("pages >= 2").select("document_id", "key", F.lit(True).alias("often"))
+    edge = b.where(top | bottom).withColumn("key", furniture_key(F.col("text")))
+    often = edge.groupBy("document_id", "key").agg(F.count_distinct("page_index").alias("pages")).where("pages >= 2").select("document_id", "key", F.lit(True).alias("often"))
     role = F.when(F.col("often") & top, "header").when(F.col("often") & bottom, "footer").otherwise("body")
-    return b.join(often, ["document_id", "key"], "left").withColumn("role", role).drop("often", "key")
+    named = edge.join(often, ["document_id", "key"], "left").select(*blocks.columns, role.alias("role"))
+    return named.unionByName(b.where(~F.coalesce(top | bottom, F.lit(False))).withColumn("role", F.lit("body")))
 
 
 def split_text(text: str, limit: int) -> list[tuple[int, str]]:
@@ -64,9 +69,15 @@ def _columns(blocks: list, width: float) -> dict[int, int]:
     return out
 
 
-def _page(frame: pd.DataFrame, limit: int) -> pd.DataFrame:
-    rows = list(frame.itertuples(index=False))
-    width = rows[0].page_width
+Block = namedtuple("Block", "document_id page_index page_width block_no x0 y0 x1 y1 text role")
+_PLACED = "document_id string, page_index int, reading_order int, role string, text string, char_start int, char_end int, x0 double, y0 double, x1 double, y1 double"
+_ARROW = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in map(str.split, _PLACED.split(", "))])
+#: Passages sent back at once.
+ROWS = 5000
+
+
+def _page(rows: list[Block], limit: int) -> list[tuple]:
+    width = float("nan") if rows[0].page_width is None else rows[0].page_width
     body = [r for r in rows if r.role == "body"]
     wide = sorted((r for r in body if r.x1 - r.x0 >= WIDE * width), key=lambda r: (r.y0, r.x0, r.block_no))
     narrow = [r for r in body if r.x1 - r.x0 < WIDE * width]
@@ -87,14 +98,28 @@ def _page(frame: pd.DataFrame, limit: int) -> pd.DataFrame:
         for _, text in split_text(m["text"], limit):
             out.append((rows[0].document_id, rows[0].page_index, len(out), m["role"], text, at, at + len(text), m["x0"], m["y0"], m["x1"], m["y1"]))
             at += len(text) + 2
-    return pd.DataFrame(out, columns=["document_id", "page_index", "reading_order", "role", "text", "char_start", "char_end", "x0", "y0", "x1", "y1"])
+    return out
+
+
+def _pages(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Passages of the pages of one task, whose blocks come page by page."""
+    made: list[tuple] = []
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), _ARROW.types)], schema=_ARROW)
+    blocks = chain.from_iterable(map(Block._make, zip(*(c.to_pylist() for c in b.columns))) for b in batches)
+    for _, page in groupby(blocks, lambda b: b[:2]):
+        made += _page(list(page), limit)
+        if len(made) >= ROWS:
+            yield batch()
+            made = []
+    if made:
+        yield batch()
 
 
 def placed(blocks: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Passages with the box of their blocks: x0, y0, x1, y1."""
     flat = roles(blocks)
-    kind = "document_id string, page_index int, reading_order int, role string, text string, char_start int, char_end int, x0 double, y0 double, x1 double, y1 double"
-    made = flat.groupBy("document_id", "page_index").applyInPandas(lambda f: _page(f, limit), kind)
+    at = ["document_id", "page_index"]
+    made = flat.select(*Block._fields).repartition(*at).sortWithinPartitions(*at).mapInArrow(lambda batches: _pages(batches, limit), _PLACED)
     return made.withColumns({"id": short_hash("passage_", F.col("document_id"), F.col("page_index"), F.col("reading_order"), F.col("text")), "text_hash": F.sha2("text", 256)}).select(*(c.split()[0] for c in PASSAGES.split(", ")), "x0", "y0", "x1", "y1")
 
 

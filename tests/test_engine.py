@@ -275,3 +275,13 @@ def test_names_alike_in_most_letters_are_not_all_compared(spark, monkeypatch):
     mentions = spark.createDataFrame([(str(k), f"Zupplier#{k * 7919 % 10**9:09d}", "company", {}) for k in range(1, 101)], row.format("name"))
     got = entities.resolve(mentions, catalogue).selectExpr("array_contains(candidates, 's' || id) AS own", "size(candidates) AS n").collect()
     assert all(r["own"] for r in got) and sum(r["n"] for r in got) < 4000  # of 39,900 pairs
+
+
+def test_pages_are_laid_out_in_one_stream(spark):
+    at = lambda p, k, y, t: ("d", p, 600.0, 800.0, k, 50.0, float(y), 300.0, float(y + 10), t)
+    blocks = [at(p, k, 150 + 100 * k, f"Text {k} of page {p}") for p in range(3 * layout.ROWS // 5) for k in range(2)] + [at(None, 0, 150, "No page"), at(None, 1, 250, "is known")]
+    got = layout.passages(spark.createDataFrame(blocks, BLOCKS).repartition(3))
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # a call a page
+    rows = {(r["page_index"], r["reading_order"]): (r["role"], r["text"], r["char_start"]) for r in got.collect()}
+    want = {(p, k): ("body", f"Text {k} of page {p}", k * (len(f"Text 0 of page {p}") + 2)) for p in range(3 * layout.ROWS // 5) for k in range(2)}
+    assert rows == want | {(None, 0): ("body", "No page", 0), (None, 1): ("body", "is known", 9)}
