@@ -90,8 +90,10 @@ def totals(cells: DataFrame, complete: bool = False) -> DataFrame:
     is_total = F.col("predicate_key").rlike(r"^(?:total|sub_?total|grand_total)(?:_|$)")
     w = W.partitionBy(*keys).orderBy("row_index").rowsBetween(W.unboundedPreceding, -1)
     rows = cells.withColumn("total", is_total).withColumn("section", F.coalesce(F.sum(F.col("total").cast("int")).over(w), F.lit(0)))
-    stated = rows.where("total").select(*keys, "section", F.col("value").alias("stated"), F.col("predicate_key").alias("total_key"))
-    parts = rows.where("not total").join(stated, [*keys, "section"]).where(F.col("value.unit").eqNullSafe(F.col("stated.unit")) & F.col("value.currency").eqNullSafe(F.col("stated.currency")) & ~F.coalesce(F.col("value.unit") == "percent", F.lit(False)))
+    # A section has one total at most, so its parts get it without a join: cells are made and dealt out once.
+    of = F.first(F.when(F.col("total"), F.struct(F.col("value").alias("stated"), F.col("predicate_key").alias("total_key"))), ignorenulls=True).over(W.partitionBy(*keys, "section"))
+    rows = rows.dropna(subset=keys).withColumn("of", of).where("not total and of is not null").select(*keys, "section", "value", "of.stated", "of.total_key")
+    parts = rows.where(F.col("value.unit").eqNullSafe(F.col("stated.unit")) & F.col("value.currency").eqNullSafe(F.col("stated.currency")) & ~F.coalesce(F.col("value.unit") == "percent", F.lit(False)))
     out = parts.groupBy(*keys, "section", "total_key", "stated").agg(F.count(F.lit(1)).alias("n_components"), F.sum("value.number").alias("calculated"), F.sum(tolerance(F.col("value"))).alias("parts_tolerance")).where("n_components >= 2")
     out = out.withColumns({"difference": F.abs(F.col("stated.number") - F.col("calculated")), "tolerance": F.col("parts_tolerance") + tolerance(F.col("stated"))}).drop("parts_tolerance")
     return out.withColumns({"check_type": F.lit("component_total"), "relation_type": decide(F.col("difference"), F.col("tolerance"), F.lit(not complete), F.lit(False))})

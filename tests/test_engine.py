@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom import cli, queries
 from factloom.functions import context, names, numbers
-from factloom.operators import compare, entities, extract, layout
+from factloom.operators import audit, compare, entities, extract, layout
 from factloom.plans import pipeline
 from factloom.sources import documents
 from factloom.schemas import BLOCKS, CELLS, FACTS
@@ -285,3 +285,11 @@ def test_pages_are_laid_out_in_one_stream(spark):
     rows = {(r["page_index"], r["reading_order"]): (r["role"], r["text"], r["char_start"]) for r in got.collect()}
     want = {(p, k): ("body", f"Text {k} of page {p}", k * (len(f"Text 0 of page {p}") + 2)) for p in range(3 * layout.ROWS // 5) for k in range(2)}
     assert rows == want | {(None, 0): ("body", "No page", 0), (None, 1): ("body", "is known", 9)}
+
+
+def test_totals_read_their_cells_once(spark):
+    rows = [("s", 1, "line_1", "₹ 1.00"), ("s", 2, "line_2", "₹ 2.00"), ("s", 3, "total", "₹ 3.00"), ("s", 4, "line_4", "₹ 4.00"), ("s", 5, "line_5", "5%"), ("s", 6, "line_6", "₹ 6.00"), ("s", 7, "sub_total", "₹ 12.00"), ("s", 8, "line_8", "₹ 1.00"), ("t", 1, "line_1", "₹ 1.00"), ("t", 2, "total", "₹ 1.00"), (None, 1, "line_1", "₹ 1.00"), (None, 2, "line_2", "₹ 1.00"), (None, 3, "total", "₹ 2.00")]
+    cells = spark.createDataFrame(rows, "subject_id string, row_index int, predicate_key string, raw string").select("subject_id", F.lit("d").alias("document_id"), F.lit(0).alias("page_index"), F.lit(0).alias("table_index"), F.lit(1).alias("column_index"), "row_index", "predicate_key", numbers.number(F.col("raw")).alias("value"))
+    got = audit.totals(cells, complete=True)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["subject_id"], r["section"], r["total_key"]): (r["n_components"], float(r["difference"]), r["relation_type"]) for r in got.collect()} == {("s", 0, "total"): (2, 0.0, "corroborates"), ("s", 1, "sub_total"): (2, 2.0, "contradicts")}
